@@ -16,8 +16,8 @@ def number(col: Column) -> Column:
 
 
 def finite(col: Column) -> Column:
-    bad = F.isnan(col) | (F.abs(col) == F.lit(float("inf")))
-    return F.when(~bad, col)
+    # NaN is greater than every number in Spark, so one comparison rules out all three.
+    return F.when(F.abs(col) < F.lit(float("inf")), col)
 
 
 def event_time(col: Column, fmt: str = C.LOG_TIME_FORMAT) -> Column:
@@ -52,8 +52,10 @@ def weekend(ts: Column) -> Column:
 
 def scaled_feature(name: str) -> Column:
     """A model feature: finite values only, ``log1p`` on the skewed columns."""
-    col = finite(F.col(name).cast("double"))
-    return finite(F.log1p(col)) if name in C.LOG_SCALED else col
+    col = F.col(name).cast("double")
+    if name in C.LOG_SCALED:
+        return F.when((col > -1.0) & (col < F.lit(float("inf"))), F.log1p(col))
+    return finite(col)
 
 
 def quota(n: Column, budget: Column) -> Column:

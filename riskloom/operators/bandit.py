@@ -15,57 +15,62 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from riskloom import constants as C
 from riskloom.functions import scalars as S
 from riskloom.functions.ordering import ROWS_PER_TASK, Key, take_in_order
+from riskloom.functions.schemas import extended
+from riskloom.functions.vectors import lists, matrix, with_column
 from riskloom.operators.capacity import SCORE_PLACES, add_rewards, check_budgets
 from riskloom.session import fresh_path
 
 
 # --- contexts ---------------------------------------------------------------
-def fit_scaler(train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR, check: bool = True) -> DataFrame:
-    """Mean and deviation of every context column over the training rows: one row."""
-    parts = []
-    for c in columns:
-        value = S.scaled_feature(c)
-        parts += [
-            F.count(value).alias(f"{c}__n"),
-            F.avg(value).alias(f"{c}__mean"),
-            F.sqrt(F.greatest(F.var_pop(value), F.lit(floor))).alias(f"{c}__std"),
-        ]
-    scaler = train.agg(F.count(F.lit(1)).alias("n_train"), *parts)
-    if check:
-        # One row, read once: the replay needs it as constants.
-        row = scaler.first()
-        if not row["n_train"] or any(not row[f"{c}__n"] for c in columns):
-            raise ValueError("the training period has no usable value for some context column")
-        scaler = train.sparkSession.createDataFrame([row], scaler.schema)
-    return scaler
-
-
-def scaler_table(scaler: DataFrame, columns: list[str]) -> DataFrame:
-    """The scaler as one row per column."""
-    rows = F.array(*[
+@dataclass(frozen=True)
+class Scaler:
+    """Mean and deviation of every context column over the training rows."""
+
+    n_train: int
+    columns: tuple[str, ...]
+    mean: tuple[float, ...]
+    std: tuple[float, ...]
+
+
+def scaler_table(train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR) -> DataFrame:
+    """One row per context column, from one aggregation without a key."""
+    values = train.select(*[S.scaled_feature(c).alias(c) for c in columns])
+    parts = [
         F.struct(
-            F.lit(c).alias("feature"), F.col(f"{c}__n").alias("n"),
-            F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
+            F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"),
+            F.sqrt(F.greatest(F.var_pop(c), F.lit(floor))).alias("std"),
         )
         for c in columns
-    ])
-    return scaler.select("n_train", F.explode(rows).alias("r")).select("n_train", "r.*")
+    ]
+    wide = values.agg(F.count(F.lit(1)).alias("n_train"), F.array(*parts).alias("rows"))
+    return wide.select("n_train", F.explode("rows").alias("r")).select("n_train", "r.*")
 
 
-def scale_context(df: DataFrame, scaler: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+def fit_scaler(train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR) -> Scaler:
+    """Fit on the training rows; no label is read. One row per column reaches the driver."""
+    rows = scaler_table(train, columns, floor).collect()
+    if any(not r["n_train"] or not r["n"] for r in rows):
+        raise ValueError("the training period has no usable value for some context column")
+    return Scaler(
+        rows[0]["n_train"], tuple(columns), tuple(r["mean"] for r in rows), tuple(r["std"] for r in rows)
+    )
+
+
+def scale_context(df: DataFrame, scaler: Scaler, keep: list[str]) -> DataFrame:
     """Standardised contexts ``x`` with an intercept; a missing value sits at the mean."""
-    joined = df.crossJoin(F.broadcast(scaler))  # one row
     values = [
-        F.coalesce((S.scaled_feature(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std"), F.lit(0.0))
-        for c in columns
+        F.coalesce((S.scaled_feature(c) - F.lit(mean)) / F.lit(std), F.lit(0.0))
+        for c, mean, std in zip(scaler.columns, scaler.mean, scaler.std)
     ]
-    return joined.select(*keep, F.array(F.lit(1.0), *values).alias("x"))
+    return df.select(*keep, F.array(F.lit(1.0), *values).alias("x"))
 
 
 # --- policies and model state -----------------------------------------------
@@ -145,18 +150,19 @@ def bandit_scores(contexts: DataFrame, policies: list[Policy], state: State, kee
     """
     settings = [(p.name, p.alpha, *state.models[p.name].weights()) for p in policies]
     names = [p.name for p in policies]
-    schema = contexts.select(*keep, "x").schema.add("scores", "array<double>")
+    schema = extended(contexts.select(*keep, "x").schema, "scores array<double>")
+
+    dims = len(settings[0][2])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 1))
-            scores = np.empty((len(rows), len(settings)))
+            x = matrix(rows.column("x"), dims)
+            scores = np.empty((len(x), len(settings)))
             for i, (_, alpha, theta, factor) in enumerate(settings):
-                spread = np.linalg.norm(x @ factor.T, axis=1)
-                scores[:, i] = x @ theta + alpha * spread
-            yield rows.assign(scores=list(scores))
+                scores[:, i] = x @ theta + alpha * np.linalg.norm(x @ factor.T, axis=1)
+            yield with_column(rows, "scores", lists(scores))
 
-    scored = contexts.select(*keep, "x").mapInPandas(run, schema)
+    scored = contexts.select(*keep, "x").mapInArrow(run, schema)
     named = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("policy"), F.col("scores")))
     return scored.select(*keep, "x", named.alias("s")).select(
         *keep, "x", F.col("s.policy").alias("policy"), F.col("s.scores").alias("ucb_score")
@@ -193,24 +199,25 @@ def update_sums(queue: DataFrame, dims: int, by: tuple[str, ...] = ("policy",))
     One output row per key and matrix row ``i``. Every task adds up its own rows
     first, so the shuffle carries d rows per task and key, whatever the queue's size.
     """
-    keys = queue.select(*by).schema
-    schema = keys.add("i", "int").add("v", "array<double>")
+    schema = extended(queue.select(*by).schema, "i int, v array<double>")
+    key_types = [to_arrow_type(queue.schema[c].dataType) for c in by]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for rows in batches:
-            for key, part in rows.groupby(list(by), sort=False):
-                x = np.stack(part["x"].to_numpy())
-                r = part["review_reward"].to_numpy(dtype=float)
-                total = np.hstack([x.T @ x, (x.T @ r)[:, None]])
+            x, r = matrix(rows.column("x"), dims), rows.column("review_reward").to_numpy(zero_copy_only=False)
+            y = np.hstack([x, r[:, None]])
+            for key, index in pd.DataFrame({c: rows.column(c).to_pandas() for c in by}).groupby(list(by)).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                total = x[index].T @ y[index]
                 sums[key] = sums[key] + total if key in sums else total
         for key, total in sums.items():
-            yield pd.DataFrame({
-                **{c: [v] * dims for c, v in zip(by, key)},
-                "i": np.arange(dims, dtype=np.int32), "v": list(total),
-            })
+            columns = [pa.array([v] * dims, t) for v, t in zip(key, key_types)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.arange(dims, dtype=np.int32)), lists(total)], names=[*by, "i", "v"]
+            )
 
-    partial = queue.select(*by, "x", "review_reward").mapInPandas(run, schema)
+    partial = queue.select(*by, "x", "review_reward").mapInArrow(run, schema)
     totals = partial.groupBy(*by, "i").agg(
         *[F.sum(F.col("v")[j]).alias(f"_v{j}") for j in range(dims + 1)]
     )
@@ -284,7 +291,7 @@ def bandit_replay(
         raise ValueError("no context rows to replay")
     # Only the days of this replay: the folder may hold others.
     days = [r[0] for r in volume]
-    queue = spark.read.schema(schema.add("day", "date")).parquet(path).filter(F.col("day").between(days[0], days[-1]))
+    queue = spark.read.schema(extended(schema, "day date")).parquet(path).filter(F.col("day").between(days[0], days[-1]))
     return Replay(queue, replay_daily(queue, contexts, policies), state)
 
 

@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
+from riskloom.functions.schemas import extended
+from riskloom.functions.vectors import lists, matrix, with_column
 from riskloom.operators.semantic import vector_dims
 from riskloom.session import materialize
 
@@ -30,28 +33,35 @@ def batch_vector_moments(df: DataFrame, batch: str, embedding: str, dims: int |
     keeps at most ``OPEN_BATCHES`` batches in memory and emits them when more come.
     """
     dims = dims or vector_dims(df, embedding)
-    schema = df.select(batch).schema.add("i", "int").add("n", "bigint").add("v", "array<double>")
+    schema = extended(df.select(batch).schema, "i int, n bigint, v array<double>")
 
-    def emit(sums: dict) -> Iterator[pd.DataFrame]:
-        for key, (n, total, gram) in sums.items():
-            yield pd.DataFrame({
-                batch: [key] * dims, "i": np.arange(dims, dtype=np.int32), "n": n,
-                "v": list(np.hstack([total[:, None], gram])),
-            })
+    key_type = to_arrow_type(df.schema[batch].dataType)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(sums: dict) -> Iterator[pa.RecordBatch]:
+        for key, (n, total, gram) in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([key] * dims, key_type), pa.array(np.arange(dims, dtype=np.int32)),
+                    pa.array([n] * dims, pa.int64()), lists(np.hstack([total[:, None], gram])),
+                ],
+                names=[batch, "i", "n", "v"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for rows in batches:
-            for key, part in rows.groupby(batch, sort=False):
-                x = np.stack(part[embedding].to_numpy()).astype(np.float64)
+            x = matrix(rows.column(embedding), dims)
+            keys = rows.column(batch).to_pandas()
+            for key, index in keys.groupby(keys).indices.items():
+                part = x[index]
                 n, total, gram = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = (n + len(x), total + x.sum(axis=0), gram + x.T @ x)
+                sums[key] = (n + len(part), total + part.sum(axis=0), gram + part.T @ part)
             if len(sums) > OPEN_BATCHES:
                 yield from emit(sums)
                 sums = {}
         yield from emit(sums)
 
-    partial = df.select(batch, embedding).filter(F.col(embedding).isNotNull()).mapInPandas(run, schema)
+    partial = df.select(batch, embedding).filter(F.col(embedding).isNotNull()).mapInArrow(run, schema)
     totals = partial.groupBy(batch, "i").agg(
         F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"_v{j}") for j in range(dims + 1)]
     )
@@ -91,8 +101,7 @@ def principal_basis(n: int, total: np.ndarray, gram: np.ndarray, k: int) -> tupl
 
 def causal_bases(prefix: DataFrame, batch: str, k: int) -> DataFrame:
     """One basis per batch that has a history: a d x d problem each, on the executors."""
-    key = prefix.schema[batch]
-    schema = StructType([key]).add("mean", "array<double>").add("components", "array<double>")
+    schema = extended(prefix.select(batch).schema, "mean array<double>, components array<double>")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
@@ -106,7 +115,9 @@ def causal_bases(prefix: DataFrame, batch: str, k: int) -> DataFrame:
     return prefix.filter(F.col("n") > 0).groupBy(batch).applyInPandas(solve, schema)
 
 
-def project(df: DataFrame, batch: str, embedding: str, bases: pd.DataFrame, k: int, output: str) -> DataFrame:
+def project(
+    df: DataFrame, batch: str, embedding: str, bases: pd.DataFrame, k: int, dims: int, output: str
+) -> DataFrame:
     """Project rows on the basis of their batch; rows of a batch without one get null."""
     spark = df.sparkSession
     lookup = {
@@ -114,24 +125,25 @@ def project(df: DataFrame, batch: str, embedding: str, bases: pd.DataFrame, k: i
         for _, row in bases.iterrows()
     }
     shared = spark.sparkContext.broadcast(lookup)
-    schema = StructType([*df.schema.fields, StructField(output, ArrayType(DoubleType()))])
+    schema = extended(df.schema, f"`{output}` array<double>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for rows in batches:
-            out = np.full(len(rows), None, dtype=object)
-            for key, index in rows.groupby(batch, sort=False).indices.items():
-                vectors = rows[embedding].to_numpy()[index]
-                present = np.array([v is not None for v in vectors], dtype=bool)
-                if key not in known or not present.any():
-                    continue
-                mean, components = known[key]
-                x = np.stack(vectors[present]).astype(np.float64)
-                for at, value in zip(index[present], (x - mean) @ components.T):
-                    out[at] = value
-            yield rows.assign(**{output: out})
-
-    return df.mapInPandas(run, schema)
+            column = rows.column(embedding)
+            valid = column.is_valid().to_numpy(zero_copy_only=False)
+            x = np.zeros((rows.num_rows, dims))
+            x[valid] = matrix(column.drop_null(), dims)
+            out, present = np.zeros((rows.num_rows, k)), np.zeros(rows.num_rows, dtype=bool)
+            keys = rows.column(batch).to_pandas()
+            for key, index in keys.groupby(keys).indices.items():
+                if key in known:
+                    mean, components = known[key]
+                    out[index] = (x[index] - mean) @ components.T
+                    present[index] = valid[index]
+            yield with_column(rows, output, lists(out, present))
+
+    return df.mapInArrow(run, schema)
 
 
 def causal_pca(
@@ -153,7 +165,7 @@ def causal_pca(
     for start in range(0, len(keys), size):
         low, high = keys[start], keys[min(start + size, len(keys)) - 1]
         inside = F.col(batch).between(F.lit(low), F.lit(high))
-        part = project(df.filter(inside), batch, embedding, bases.filter(inside).toPandas(), k, output)
+        part = project(df.filter(inside), batch, embedding, bases.filter(inside).toPandas(), k, dims, output)
         result = part if result is None else result.unionByName(part)
     if result is None:
         return df.withColumn(output, F.lit(None).cast("array<double>"))

@@ -113,7 +113,7 @@ def contexts(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> Da
     feats = feats if feats is not None else features(spark, sf)
     train, test = split_by_time(feats, TRAIN_END)
     scaler = fit_scaler(train, CONTEXT)
-    return scale_context(test, scaler, CONTEXT, ["id", "seq", "user", "day", "is_malicious", "scenario"])
+    return scale_context(test, scaler, ["id", "seq", "user", "day", "is_malicious", "scenario"])
 
 
 def day_text(df: DataFrame) -> DataFrame:

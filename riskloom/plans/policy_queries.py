@@ -22,7 +22,7 @@ FIRST_DAY = dt.date.fromisoformat(fx.FIRST_TEST_DAY)
 # --- contexts ---------------------------------------------------------------
 def context_scaler(spark, sf):
     train, _ = split_by_time(fx.features(spark, sf), fx.TRAIN_END)
-    rows = bandit.scaler_table(bandit.fit_scaler(train, fx.CONTEXT, check=False), fx.CONTEXT)
+    rows = bandit.scaler_table(train, fx.CONTEXT)
     return fx.rounded(rows, "mean", "std")
 
 
