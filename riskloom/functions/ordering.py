@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from riskloom.session import materialize
 
 ROWS_PER_TASK = 2_000_000
+TEXT_PARTS = 4
 LADDER = [i / 1024 for i in range(1, 1024)]
 
 
@@ -32,23 +33,30 @@ class Key:
         return F.col(self.name).desc() if self.descending else F.col(self.name).asc()
 
 
-def sort_number(df: DataFrame, key: Key) -> Column:
-    """A double that never falls as the key moves along its sort order."""
+def sort_numbers(df: DataFrame, key: Key) -> list[Column]:
+    """Doubles whose lexicographic order follows the key's sort order.
+
+    A long is split so that each part is exact in a double; a text gives the numbers
+    of its first bytes, six at a time.
+    """
     dtype = df.schema[key.name].dataType
     col = F.col(key.name)
     if isinstance(dtype, T.StringType):
-        head = F.rpad(F.hex(F.substring(col.cast("binary"), 1, 6)), 12, "0")
-        value = F.conv(head, 16, 10).cast("double")
+        data = col.cast("binary")
+        heads = [F.rpad(F.hex(F.substring(data, 1 + 6 * i, 6)), 12, "0") for i in range(TEXT_PARTS)]
+        values = [F.conv(h, 16, 10).cast("double") for h in heads]
     elif isinstance(dtype, T.TimestampNTZType):
-        value = F.unix_micros(col.cast("timestamp")).cast("double")
+        values = [F.unix_micros(col.cast("timestamp")).cast("double")]
     elif isinstance(dtype, T.TimestampType):
-        value = F.unix_micros(col).cast("double")
+        values = [F.unix_micros(col).cast("double")]
     elif isinstance(dtype, T.DateType):
-        value = F.unix_date(col).cast("double")
+        values = [F.unix_date(col).cast("double")]
+    elif isinstance(dtype, T.LongType):
+        values = [F.shiftright(col, 20).cast("double"), col.bitwiseAND(F.lit((1 << 20) - 1)).cast("double")]
     else:
-        value = col.cast("double")
-    value = F.coalesce(value, F.lit(float("-inf")))
-    return -value if key.descending else value
+        values = [col.cast("double")]
+    values = [F.coalesce(v, F.lit(float("-inf"))) for v in values]
+    return [-v for v in values] if key.descending else values
 
 
 def ordered_slots(
@@ -60,23 +68,35 @@ def ordered_slots(
 ) -> tuple[DataFrame, list[str]]:
     """Add slot columns so that no ``(by, slots)`` group is oversize.
 
-    Slots are cut at quantiles of the first key; where one key value alone is
-    oversize, the next key cuts again. Returns the frame and the slot columns,
-    which are empty when no group is oversize. The cut points are written before
-    use, so a retried task puts a row into the same slot. Their number is bounded
-    by ``rows / rows_per_task``, which is why they may be broadcast. ``largest`` is
-    the size of the greatest group where the caller has counted already.
+    Cuts are quantiles of the first key. A cut value is a slot of its own (an odd
+    number) and so is each range between cuts (an even one); a value so common that
+    it is oversize alone is always a cut, and the next key cuts it again. Returns the
+    frame and the slot columns, none when no group is oversize. The cuts are written
+    before use, so a retried task puts a row into the same slot. Their number is
+    bounded by ``rows / rows_per_task``, which is why they may be broadcast.
+    ``largest`` is the size of the greatest group where the caller has counted already.
     """
     slots: list[str] = []
-    for level, key in enumerate(keys):
+    levels = [(key, part, part == 0) for key in keys for part in range(len(sort_numbers(df, key)))]
+    for level, (key, part, opens) in enumerate(levels):
         group = by + slots
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        if level or largest is None:
-            largest = sizes.agg(F.max("_n")).first()[0]
-        if (largest or 0) <= rows_per_task:
+        splittable = F.col("_n") > rows_per_task
+        counts = [F.count(F.lit(1)).alias("_n")]
+        if level:
+            splittable &= F.col(slots[-1]) % 2 == 1
+        if level and opens:
+            # The next key may order only rows that agree on the one before.
+            before = levels[level - 1][0].name
+            counts.append(F.min(before).eqNullSafe(F.max(before)).alias("_one"))
+            splittable &= F.col("_one")
+        elif largest is not None and largest <= rows_per_task:
+            break
+        sizes = df.groupBy(*group).agg(*counts).filter(splittable).select(*group, "_n")
+        if sizes.isEmpty():
             break
-        big = materialize(sizes.filter(F.col("_n") > rows_per_task), "oversize-groups")
-        keyed = df.select(*group, sort_number(df, key).alias("_k"))
+        big = materialize(sizes, "oversize-groups")
+        number = sort_numbers(df, key)[part]
+        keyed = df.select(*group, number.alias("_k"))
         on = [keyed[g].eqNullSafe(big[g]) for g in group]
         ladder = (
             keyed.join(F.broadcast(big), on)
@@ -91,10 +111,12 @@ def ordered_slots(
         cuts = materialize(cuts, "slot-cuts")
         slot = f"_slot{level}"
         on = [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group]
+        below = F.size(F.filter("_cuts", lambda v: v < F.col("_k"))) * 2
+        exact = F.array_contains("_cuts", F.col("_k")).cast("int")
         df = (
-            df.withColumn("_k", sort_number(df, key))
+            df.withColumn("_k", number)
             .join(F.broadcast(cuts), on, "left")
-            .withColumn(slot, F.coalesce(F.size(F.filter("_cuts", lambda v: v < F.col("_k"))), F.lit(0)))
+            .withColumn(slot, F.coalesce(below + exact, F.lit(0)))
             .drop("_k", "_cuts", *[f"_c_{g}" for g in group])
         )
         slots.append(slot)

@@ -26,7 +26,7 @@ from riskloom.functions.ordering import ROWS_PER_TASK, Key, take_in_order
 from riskloom.functions.schemas import extended
 from riskloom.functions.vectors import lists, matrix, with_column
 from riskloom.operators.capacity import SCORE_PLACES, add_rewards, check_budgets
-from riskloom.session import fresh_path
+from riskloom.session import fresh_path, materialize
 
 
 # --- contexts ---------------------------------------------------------------
@@ -173,24 +173,25 @@ def review_day(
     scored: DataFrame, slots: int, n_rows: int, tie: str = "id", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """The best ``slots`` rows of a day for every policy."""
-    rows = scored.withColumn("_score", F.round("ucb_score", SCORE_PLACES))
     keys = [Key("_score", descending=True), Key(tie)]
+    score = F.round("ucb_score", SCORE_PLACES)
     if n_rows <= rows_per_task:
         best = Window.partitionBy("policy").orderBy(*[k.order() for k in keys])
-        chosen = rows.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= slots)
-        return chosen.drop("_rank", "_score")
-    quotas = rows.select("policy").distinct().withColumn("quota", F.lit(slots).cast("bigint"))
+        ranked = scored.withColumn("_score", score).withColumn("_rank", F.row_number().over(best))
+        return ranked.filter(F.col("_rank") <= slots).drop("_rank", "_score")
+    # Written first: the selection reads the scores several times.
+    rows = materialize(scored, "day-scores").withColumn("_score", score)
+    quotas = rows.groupBy("policy").agg(F.lit(slots).cast("bigint").alias("quota"))
     return take_in_order(rows, ["policy"], keys, quotas, rows_per_task).drop("_score")
 
 
 def feedback(queue: DataFrame, policies: list[Policy]) -> DataFrame:
     """The reward that the review of each queued row returned."""
-    table = policy_table(queue.sparkSession, policies).drop("alpha")
-    joined = queue.join(F.broadcast(table), "policy")  # one row per policy
-    return joined.withColumn(
-        "review_reward",
-        F.when(F.col("is_malicious") == 1, F.col("true_positive_reward")).otherwise(-F.col("review_cost")),
-    ).drop("true_positive_reward", "review_cost")
+    gain, cost = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for p in policies:
+        gain = F.when(F.col("policy") == p.name, float(p.reward)).otherwise(gain)
+        cost = F.when(F.col("policy") == p.name, float(p.cost)).otherwise(cost)
+    return queue.withColumn("review_reward", F.when(F.col("is_malicious") == 1, gain).otherwise(-cost))
 
 
 def update_sums(queue: DataFrame, dims: int, by: tuple[str, ...] = ("policy",)) -> DataFrame:
@@ -218,10 +219,8 @@ def update_sums(queue: DataFrame, dims: int, by: tuple[str, ...] = ("policy",))
             )
 
     partial = queue.select(*by, "x", "review_reward").mapInArrow(run, schema)
-    totals = partial.groupBy(*by, "i").agg(
-        *[F.sum(F.col("v")[j]).alias(f"_v{j}") for j in range(dims + 1)]
-    )
-    return totals.select(*by, "i", F.array(*[f"_v{j}" for j in range(dims + 1)]).alias("v"))
+    totals = partial.groupBy(*by, "i").agg(*[F.expr(f"sum(v[{j}]) as _v{j}") for j in range(dims + 1)])
+    return totals.select(*by, "i", F.expr(f"array({', '.join(f'_v{j}' for j in range(dims + 1))}) as v"))
 
 
 def apply_update(state: State, sums: DataFrame, day: dt.date) -> State:

@@ -63,11 +63,11 @@ def batch_vector_moments(df: DataFrame, batch: str, embedding: str, dims: int |
 
     partial = df.select(batch, embedding).filter(F.col(embedding).isNotNull()).mapInArrow(run, schema)
     totals = partial.groupBy(batch, "i").agg(
-        F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"_v{j}") for j in range(dims + 1)]
+        F.sum("n").alias("n"), *[F.expr(f"sum(v[{j}]) as _v{j}") for j in range(dims + 1)]
     )
     return totals.select(
         batch, "i", "n", F.col("_v0").alias("total"),
-        F.array(*[f"_v{j + 1}" for j in range(dims)]).alias("gram"),
+        F.expr(f"array({', '.join(f'_v{j + 1}' for j in range(dims))}) as gram"),
     )
 
 

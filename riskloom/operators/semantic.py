@@ -33,9 +33,13 @@ def vector_dims(df: DataFrame, embedding: str) -> int:
 
 def vector_totals(df: DataFrame, by: list[str], embedding: str, dims: int) -> DataFrame:
     """Sum of vectors and row count per key, combined before the shuffle."""
-    value = [F.sum(F.col(embedding)[i].cast("double")).alias(f"_t{i}") for i in range(dims)]
+    value = [F.expr(f"sum(double(`{embedding}`[{i}])) as _t{i}") for i in range(dims)]
     sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *value)
-    return sums.select(*by, "_rows", F.array(*[f"_t{i}" for i in range(dims)]).alias("_total"))
+    return sums.select(*by, "_rows", _packed(dims))
+
+
+def _packed(dims: int):
+    return F.expr(f"array({', '.join(f'_t{i}' for i in range(dims))}) as _total")
 
 
 def add_vectors(a: str, b: str):
@@ -96,7 +100,7 @@ def _slot_starts(df: DataFrame, user: str, slots: list[str], embedding: str, dim
     parts = [F.coalesce(F.sum(F.col("_total")[i]).over(before), F.lit(0.0)).alias(f"_t{i}") for i in range(dims)]
     rows = F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows")
     return totals.select(user, *slots, rows, *parts).select(
-        user, *slots, "_rows", F.array(*[f"_t{i}" for i in range(dims)]).alias("_total")
+        user, *slots, "_rows", _packed(dims)
     )
 
 

@@ -157,11 +157,16 @@ ADAPTIVE_METRICS = f"{sql.ADAPTIVE_DAILY}, {sql.daily_metrics('top', 'adaptive')
 
 
 # --- merged queue -----------------------------------------------------------
-def _merged(spark, sf):
+def _ranked(spark, sf):
+    """Static scores and untrained bandit scores of the test rows."""
     feats = fx.features(spark, sf)
-    scores = fx.written_scores(spark, sf, feats)
+    return fx.written_scores(spark, sf, feats), _adaptive(spark, sf, feats)
+
+
+def _merged(spark, sf, ranked=None):
+    scores, untrained = ranked or _ranked(spark, sf)
     adaptive = capacity.top_by_budget(
-        _adaptive(spark, sf, feats), "ucb_score", [sql.STATIC_SHARE], by="day", tie="seq"
+        untrained, "ucb_score", [sql.STATIC_SHARE], by="day", tie="seq"
     ).select("day", "id", "seq", "user", "is_malicious", "scenario", "ucb_score")
     adaptive = materialize(adaptive, "adaptive-queue")
     rows = scores.select("day", "id", "seq", "user", "is_malicious", "scenario", "risk_score")
@@ -191,11 +196,9 @@ FROM (SELECT count(*) AS k, sum(is_malicious) AS tp, count(*) FILTER (selection_
 
 
 # --- comparison -------------------------------------------------------------
-def _arms(spark, sf):
-    feats = fx.features(spark, sf)
-    scores = fx.written_scores(spark, sf, feats)
+def _arms(spark, sf, ranked=None):
+    scores, adaptive = ranked or _ranked(spark, sf)
     static = materialize(capacity.top_by_budget(scores, "risk_score", fx.BUDGETS, by="day"), "static-top")
-    adaptive = _adaptive(spark, sf, feats)
     learnt = materialize(
         capacity.top_by_budget(adaptive, "ucb_score", fx.BUDGETS, by="day", tie="seq"), "adaptive-top"
     )
@@ -203,8 +206,9 @@ def _arms(spark, sf):
 
 
 def policy_comparison(spark, sf):
-    queue, adaptive_queue, scores = _merged(spark, sf)
-    (static, _), (learnt, adaptive) = _arms(spark, sf)
+    ranked = _ranked(spark, sf)
+    queue, adaptive_queue, scores = _merged(spark, sf, ranked)
+    (static, _), (learnt, adaptive) = _arms(spark, sf, ranked)
     merged = queues.merged_summary(queue, adaptive_queue, scores).withColumn("budget", F.lit(sql.TARGET))
     table = compare.compare_policies([
         compare.static_rows(None, capacity.run_summary(capacity.daily_metrics(static, scores))),
@@ -251,10 +255,8 @@ LEFT JOIN hit ON hit.method = r.method AND hit.budget = r.budget AND hit.scenari
 
 # --- paired comparison ------------------------------------------------------
 def _pair(spark, sf):
-    feats = fx.features(spark, sf)
     one = [0.05]
-    scores = fx.written_scores(spark, sf, feats)
-    adaptive = _adaptive(spark, sf, feats)
+    scores, adaptive = _ranked(spark, sf)
     static = capacity.top_by_budget(scores, "risk_score", one, by="day")
     learnt = capacity.top_by_budget(adaptive, "ucb_score", one, by="day", tie="seq")
     return (

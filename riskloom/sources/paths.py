@@ -16,6 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(hadoop))
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the entries of a folder."""
+    hadoop, fs = _path(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first place that exists, in order of preference."""
     for path in paths:
