@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -24,16 +26,10 @@ def lists(rows: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, mask=mask), pa.array(kept))
 
 
-def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
-    """Start and end of each run of equal keys."""
-    n = len(keys[0])
-    if n == 0:
-        return []
-    change = np.zeros(n - 1, dtype=bool)
-    for k in keys:
-        change |= k[1:] != k[:-1]
-    edges = [0, *(np.flatnonzero(change) + 1).tolist(), n]
-    return list(zip(edges[:-1], edges[1:]))
+def vector_sum(column: str, dims: int, name: str | None = None, start: int = 0) -> Column:
+    """Element-wise sum of a list column as an aggregate, combined before the shuffle."""
+    parts = ", ".join(f"sum(double(`{column}`[{i}]))" for i in range(start, start + dims))
+    return F.expr(f"array({parts})").alias(name or column)
 
 
 def with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -24,7 +24,7 @@ from riskloom import constants as C
 from riskloom.functions import scalars as S
 from riskloom.functions.ordering import ROWS_PER_TASK, Key, take_in_order
 from riskloom.functions.schemas import extended
-from riskloom.functions.vectors import lists, matrix, with_column
+from riskloom.functions.vectors import lists, matrix, vector_sum, with_column
 from riskloom.operators.capacity import SCORE_PLACES, add_rewards, check_budgets
 from riskloom.session import fresh_path, materialize
 
@@ -149,49 +149,46 @@ def bandit_scores(contexts: DataFrame, policies: list[Policy], state: State, kee
     All policies share one scan; the models travel in the task closure.
     """
     settings = [(p.name, p.alpha, *state.models[p.name].weights()) for p in policies]
-    names = [p.name for p in policies]
-    schema = extended(contexts.select(*keep, "x").schema, "scores array<double>")
-
+    rows = contexts.select(*keep, "x")
+    schema = extended(rows.schema, "policy string, ucb_score double")
     dims = len(settings[0][2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            x = matrix(rows.column("x"), dims)
-            scores = np.empty((len(x), len(settings)))
-            for i, (_, alpha, theta, factor) in enumerate(settings):
-                scores[:, i] = x @ theta + alpha * np.linalg.norm(x @ factor.T, axis=1)
-            yield with_column(rows, "scores", lists(scores))
-
-    scored = contexts.select(*keep, "x").mapInArrow(run, schema)
-    named = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("policy"), F.col("scores")))
-    return scored.select(*keep, "x", named.alias("s")).select(
-        *keep, "x", F.col("s.policy").alias("policy"), F.col("s.scores").alias("ucb_score")
-    )
+        for part in batches:
+            x = matrix(part.column("x"), dims)
+            for name, alpha, theta, factor in settings:
+                score = x @ theta + alpha * np.linalg.norm(x @ factor.T, axis=1)
+                named = with_column(part, "policy", pa.array([name] * len(x), pa.string()))
+                yield with_column(named, "ucb_score", pa.array(score))
+
+    return rows.mapInArrow(run, schema)
 
 
 def review_day(
     scored: DataFrame, slots: int, n_rows: int, tie: str = "id", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """The best ``slots`` rows of a day for every policy."""
-    keys = [Key("_score", descending=True), Key(tie)]
-    score = F.round("ucb_score", SCORE_PLACES)
+    score = f"round(ucb_score, {SCORE_PLACES}) as _score"
     if n_rows <= rows_per_task:
-        best = Window.partitionBy("policy").orderBy(*[k.order() for k in keys])
-        ranked = scored.withColumn("_score", score).withColumn("_rank", F.row_number().over(best))
-        return ranked.filter(F.col("_rank") <= slots).drop("_rank", "_score")
+        ranked = scored.selectExpr("*", score).selectExpr(
+            "*", f"row_number() over (partition by policy order by _score desc, `{tie}`) as _rank"
+        )
+        return ranked.where(f"_rank <= {slots}").drop("_rank", "_score")
     # Written first: the selection reads the scores several times.
-    rows = materialize(scored, "day-scores").withColumn("_score", score)
+    rows = materialize(scored, "day-scores").selectExpr("*", score)
     quotas = rows.groupBy("policy").agg(F.lit(slots).cast("bigint").alias("quota"))
+    keys = [Key("_score", descending=True), Key(tie)]
     return take_in_order(rows, ["policy"], keys, quotas, rows_per_task).drop("_score")
 
 
 def feedback(queue: DataFrame, policies: list[Policy]) -> DataFrame:
     """The reward that the review of each queued row returned."""
-    gain, cost = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for p in policies:
-        gain = F.when(F.col("policy") == p.name, float(p.reward)).otherwise(gain)
-        cost = F.when(F.col("policy") == p.name, float(p.cost)).otherwise(cost)
-    return queue.withColumn("review_reward", F.when(F.col("is_malicious") == 1, gain).otherwise(-cost))
+    def setting(value) -> str:
+        cases = " ".join(f"when policy = '{p.name}' then {float(value(p))!r}D" for p in policies)
+        return f"case {cases} end"
+
+    gain, cost = setting(lambda p: p.reward), setting(lambda p: p.cost)
+    return queue.selectExpr("*", f"if(is_malicious = 1, {gain}, -({cost})) as review_reward")
 
 
 def update_sums(queue: DataFrame, dims: int, by: tuple[str, ...] = ("policy",)) -> DataFrame:
@@ -219,8 +216,7 @@ def update_sums(queue: DataFrame, dims: int, by: tuple[str, ...] = ("policy",))
             )
 
     partial = queue.select(*by, "x", "review_reward").mapInArrow(run, schema)
-    totals = partial.groupBy(*by, "i").agg(*[F.expr(f"sum(v[{j}]) as _v{j}") for j in range(dims + 1)])
-    return totals.select(*by, "i", F.expr(f"array({', '.join(f'_v{j}' for j in range(dims + 1))}) as v"))
+    return partial.groupBy(*by, "i").agg(vector_sum("v", dims + 1))
 
 
 def apply_update(state: State, sums: DataFrame, day: dt.date) -> State:

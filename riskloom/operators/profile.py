@@ -66,15 +66,20 @@ def activity_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("activity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def style_sample(df: DataFrame, text: str, id_col: str = "id", n: int = C.STYLE_SAMPLE_ROWS) -> DataFrame:
+def style_sample(df: DataFrame, id_col: str = "id", n: int = C.STYLE_SAMPLE_ROWS) -> DataFrame:
     """A repeatable sample without replacement: the rows with the least id digests."""
     digest = F.md5(F.col(id_col).cast("string"))
-    return df.select(id_col, text, digest.alias("_digest")).orderBy("_digest", id_col).limit(n)
+    return df.withColumn("_digest", digest).orderBy("_digest", id_col).limit(n)
 
 
 def text_style(df: DataFrame, text: str, id_col: str = "id", n: int = C.STYLE_SAMPLE_ROWS) -> DataFrame:
     """Whether a sample of texts reads as sentences or as bare keywords."""
-    sample = style_sample(df, text, id_col, n)
+    return style_summary(style_sample(df.select(id_col, text), id_col, n), text, id_col)
+
+
+def style_summary(sample: DataFrame, text: str, id_col: str = "id") -> DataFrame:
+    """The style marks of sampled rows. Where the text is in another table, sample the
+    log first and join the text to the sample only."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1))
     marks = sample.select(
         "_digest", id_col, text,
@@ -82,6 +87,7 @@ def text_style(df: DataFrame, text: str, id_col: str = "id", n: int = C.STYLE_SA
         F.arrays_overlap(words, F.array(*[F.lit(w) for w in C.STOPWORDS])).cast("int").alias("stopword"),
         F.size(words).alias("words"),
     )
+    # At most the sample, a few hundred rows.
     head = F.slice(F.array_sort(F.collect_list(
         F.struct("_digest", id_col, F.substring(text, 1, C.SNIPPET_CHARS).alias("snippet"))
     )), 1, C.SNIPPETS)

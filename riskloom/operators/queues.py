@@ -43,13 +43,16 @@ def merge_queues(
     check_shares(static_budget, target_budget, adaptive_budget)
     if adaptive_order not in ("seq", "score"):
         raise ValueError("adaptive_order must be 'seq' or 'score'")
-    static = top_by_budget(
-        scores, "risk_score", [static_budget], by=day, tie="seq", rows_per_task=rows_per_task
-    ).drop("budget")
-    static = materialize(
-        static.withColumns({"selection_source": F.lit(STATIC), "ucb_score": F.lit(None).cast("double")}),
-        "static-queue",
+    # One selection serves the static share and, later, the fill.
+    best = materialize(
+        top_by_budget(
+            scores, "risk_score", [static_budget, target_budget], by=day, tie="seq",
+            rank="_place", rows_per_task=rows_per_task,
+        ),
+        "static-ranked",
     )
+    static = best.filter(F.col("budget") == static_budget).drop("budget", "_place")
+    static = static.withColumns({"selection_source": F.lit(STATIC), "ucb_score": F.lit(None).cast("double")})
     targets = scores.groupBy(day).agg(F.count(F.lit(1)).alias("_n")).select(
         day, S.quota(F.col("_n"), F.lit(target_budget)).alias("_target")
     )
@@ -77,13 +80,10 @@ def merge_queues(
         "queue-spare",
     )
     # Enough candidates: of the best ``target`` static rows of a day, at most the queue is taken.
-    pool = top_by_budget(
-        scores, "risk_score", [target_budget], by=day, tie="seq", rows_per_task=rows_per_task
-    ).drop("budget")
+    pool = best.filter(F.col("budget") == target_budget).drop("budget")
     rest = pool.join(queue.select(day, "id"), [day, "id"], "left_anti")
-    rest = rest.withColumn("_score", F.round("risk_score", SCORE_PLACES))
-    fill = take_in_order(rest, [day], [Key("_score", descending=True), Key("seq")], spare, rows_per_task)
-    fill = fill.drop("_score").withColumn("selection_source", F.lit(FILL))
+    fill = take_in_order(rest, [day], [Key("_place")], spare, rows_per_task).drop("_place")
+    fill = fill.withColumn("selection_source", F.lit(FILL))
     return queue.unionByName(fill, allowMissingColumns=True)
 
 

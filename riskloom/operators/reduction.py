@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from riskloom.functions.schemas import extended
-from riskloom.functions.vectors import lists, matrix, with_column
+from riskloom.functions.vectors import lists, matrix, vector_sum, with_column
 from riskloom.operators.semantic import vector_dims
 from riskloom.session import materialize
 
@@ -62,12 +62,8 @@ def batch_vector_moments(df: DataFrame, batch: str, embedding: str, dims: int |
         yield from emit(sums)
 
     partial = df.select(batch, embedding).filter(F.col(embedding).isNotNull()).mapInArrow(run, schema)
-    totals = partial.groupBy(batch, "i").agg(
-        F.sum("n").alias("n"), *[F.expr(f"sum(v[{j}]) as _v{j}") for j in range(dims + 1)]
-    )
-    return totals.select(
-        batch, "i", "n", F.col("_v0").alias("total"),
-        F.expr(f"array({', '.join(f'_v{j + 1}' for j in range(dims))}) as gram"),
+    return partial.groupBy(batch, "i").agg(
+        F.sum("n").alias("n"), F.sum(F.col("v")[0]).alias("total"), vector_sum("v", dims, "gram", start=1)
     )
 
 
@@ -79,15 +75,15 @@ def causal_batch_moments(moments: DataFrame, batch: str, dims: int, k: int) -> D
     before = Window.partitionBy("i").orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
     counts = F.col("n") >= k
     parts = [
-        F.coalesce(F.sum(F.when(counts, F.col("gram")[j])).over(before), F.lit(0.0)).alias(f"_g{j}")
+        F.coalesce(F.sum(F.when(counts, F.col("gram")[j])).over(before), F.lit(0.0))
         for j in range(dims)
     ]
     return moments.select(
         batch, "i",
         F.coalesce(F.sum(F.when(counts, F.col("n"))).over(before), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.when(counts, F.col("total"))).over(before), F.lit(0.0)).alias("total"),
-        *parts,
-    ).select(batch, "i", "n", "total", F.array(*[f"_g{j}" for j in range(dims)]).alias("gram"))
+        F.array(*parts).alias("gram"),
+    )
 
 
 def principal_basis(n: int, total: np.ndarray, gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

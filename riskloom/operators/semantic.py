@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import ROWS_PER_TASK, Key, ordered_slots
 from riskloom.functions.schemas import extended
-from riskloom.functions.vectors import matrix, with_column
+from riskloom.functions.vectors import matrix, vector_sum, with_column
 
 # One window expression per dimension costs more to compile than to run: with 64 of
 # them, ten seconds before the first row. Beyond this many, a sorted pass with vector
@@ -33,13 +33,9 @@ def vector_dims(df: DataFrame, embedding: str) -> int:
 
 def vector_totals(df: DataFrame, by: list[str], embedding: str, dims: int) -> DataFrame:
     """Sum of vectors and row count per key, combined before the shuffle."""
-    value = [F.expr(f"sum(double(`{embedding}`[{i}])) as _t{i}") for i in range(dims)]
-    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *value)
-    return sums.select(*by, "_rows", _packed(dims))
-
-
-def _packed(dims: int):
-    return F.expr(f"array({', '.join(f'_t{i}' for i in range(dims))}) as _total")
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"), vector_sum(embedding, dims, "_total")
+    )
 
 
 def add_vectors(a: str, b: str):
@@ -97,11 +93,9 @@ def _slot_starts(df: DataFrame, user: str, slots: list[str], embedding: str, dim
     """For every slot of a user, the total of the user's earlier slots."""
     totals = vector_totals(df, [user, *slots], embedding, dims)
     before = Window.partitionBy(user).orderBy(*slots).rowsBetween(Window.unboundedPreceding, -1)
-    parts = [F.coalesce(F.sum(F.col("_total")[i]).over(before), F.lit(0.0)).alias(f"_t{i}") for i in range(dims)]
-    rows = F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows")
-    return totals.select(user, *slots, rows, *parts).select(
-        user, *slots, "_rows", _packed(dims)
-    )
+    parts = [F.coalesce(F.sum(F.col("_total")[i]).over(before), F.lit(0.0)) for i in range(dims)]
+    rows = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    return totals.select(user, *slots, rows.alias("_rows"), F.array(*parts).alias("_total"))
 
 
 def _by_window(df: DataFrame, by: list[str], keys: list[Key], embedding: str, dims: int) -> DataFrame:

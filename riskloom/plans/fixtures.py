@@ -16,6 +16,7 @@ DOMAIN = "corp.example"
 TRAIN_END = "2024-01-15"
 FIRST_TEST_DAY = "2024-01-16"
 BUDGETS = [0.001, 0.005, 0.01, 0.05, 0.10]
+DIMS = 64
 EMBED_USED = 6
 EMBED_CONTEXT = [f"embed_pc_{i}" for i in range(EMBED_USED)]
 CONTEXT = [*C.BASE_CONTEXT, *EMBED_CONTEXT]
@@ -30,18 +31,17 @@ def prop():
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def activity(spark: SparkSession, sf: str, content: bool = False, embedding: bool = False) -> DataFrame:
-    """The log. Texts and vectors are joined only where a query reads them."""
+def activity(spark: SparkSession, sf: str, embedding: bool = False) -> DataFrame:
+    """The log. Vectors are joined only where a query reads them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     log = from_events(table(spark, sf, "events"))
-    if content:
-        documents = table(spark, sf, "documents")
-        wanted = F.col("id") % F.lit(documents.count())
-        log = log.join(documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("content")),
-                       wanted == F.col("_doc")).drop("_doc")
-    if embedding:
-        log = with_vectors(log, table(spark, sf, "embeddings"))
-    return log
+    return with_vectors(log, table(spark, sf, "embeddings")) if embedding else log
+
+
+def with_content(log: DataFrame, documents: DataFrame) -> DataFrame:
+    wanted = F.col("id") % F.lit(documents.count())
+    texts = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("content"))
+    return log.join(texts, wanted == F.col("_doc")).drop("_doc")
 
 
 def with_vectors(log: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     """The feature table, written once: its window over vectors is the costly part."""
     log = activity(spark, sf, embedding=True)
     meta = activity_features(log, DOMAIN, keep=(*KEYS, "embedding"))
-    full = semantic_deviation(meta)
+    full = semantic_deviation(meta, dims=DIMS)
     parts = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBED_CONTEXT)]
     return materialize(full.select(*[c for c in full.columns if c != "embedding"], *parts), "features")
 

@@ -234,8 +234,8 @@ def activity_counts(spark, sf):
 
 
 def text_style_profile(spark, sf):
-    log = fx.activity(spark, sf, content=True)
-    style = prof.text_style(log, "content")
+    sample = prof.style_sample(fx.activity(spark, sf).select("id"))
+    style = prof.style_summary(fx.with_content(sample, fx.table(spark, sf, "documents")), "content")
     return style.select(
         *[c for c in style.columns if c != "example_snippets"],
         F.md5(F.array_join("example_snippets", "|")).alias("snippet_digest"),

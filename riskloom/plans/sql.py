@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from riskloom import constants as C
-from riskloom.plans.fixtures import CONTEXT, EMBED_CONTEXT
-
-DIMS = 64
+from riskloom.plans.fixtures import CONTEXT, DIMS, EMBED_CONTEXT
 
 ACT = r"""act AS (
 SELECT event_id AS id, event_id AS seq, user_id AS "user", ts, CAST(ts AS DATE) AS day,

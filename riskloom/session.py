@@ -48,6 +48,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def clustered(df: DataFrame, partition_by: list[str] | None) -> DataFrame:
+    """Rows arranged for a partitioned write.
+
+    Without this every task would write a file into every partition. Rebalancing
+    brings a partition's rows together, and adaptive execution splits a partition that
+    is far larger than the rest, so a busy day becomes many files, not one task.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -57,7 +67,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    writer = df.write
+    writer = clustered(df, partition_by).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import clustered
 from riskloom.sources.paths import exists, move, remove
 
 
@@ -23,7 +24,7 @@ def publish(
     if present and not overwrite:
         raise FileExistsError(f"{path} exists; pass overwrite=True to replace it")
     staging = f"{path}.in_progress"
-    writer = df.write.format(fmt).mode("overwrite")
+    writer = clustered(df, partition_by).write.format(fmt).mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", "true").option("escape", '"')
     if partition_by:
