@@ -70,8 +70,9 @@ def ordered_slots(
 
     Cuts are quantiles of the first key. A cut value is a slot of its own (an odd
     number) and so is each range between cuts (an even one); a value so common that
-    it is oversize alone is always a cut, and the next key cuts it again. Returns the
-    frame and the slot columns, none when no group is oversize. The cuts are written
+    it is oversize alone is always a cut, and the next key cuts it again. Groups that
+    were not cut have slot 0, the slots of a cut group start at 2. Returns the frame
+    and the slot columns, none when no group is oversize. The cuts are written
     before use, so a retried task puts a row into the same slot. Their number is
     bounded by ``rows / rows_per_task``, which is why they may be broadcast.
     ``largest`` is the size of the greatest group where the caller has counted already.
@@ -116,7 +117,7 @@ def ordered_slots(
         df = (
             df.withColumn("_k", number)
             .join(F.broadcast(cuts), on, "left")
-            .withColumn(slot, F.coalesce(below + exact, F.lit(0)))
+            .withColumn(slot, F.coalesce(below + exact + 2, F.lit(0)))
             .drop("_k", "_cuts", *[f"_c_{g}" for g in group])
         )
         slots.append(slot)

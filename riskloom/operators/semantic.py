@@ -52,8 +52,12 @@ def semantic_deviation(
     prior: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     max_window_dims: int = MAX_WINDOW_DIMS,
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Add ``semantic_deviation``.
+    """Add ``semantic_deviation`` to the columns of ``keep``, by default to all.
+
+    Leave the vector out of ``keep`` where it is not needed afterwards: it is by far
+    the widest column, and it then makes the way to the Python workers only once.
 
     One shuffle on the user and one sort. A user above ``rows_per_task`` is cut into
     time slots; a slot starts from the total of the earlier ones. ``prior`` holds
@@ -62,22 +66,11 @@ def semantic_deviation(
     dims = dims or vector_dims(df, embedding)
     keys = [Key(c) for c in order]
     slotted, slots = ordered_slots(df, [user], keys, rows_per_task)
-    starts = None
-    if slots:
-        starts = _slot_starts(slotted, user, slots, embedding, dims)
+    starts = _slot_starts(slotted, user, slots, embedding, dims) if slots else None
     if prior is not None:
         base = prior.select(user, "_rows", "_total")
-        if starts is None:
-            starts = base
-        else:
-            starts = (
-                starts.withColumnsRenamed({"_rows": "_r1", "_total": "_t1"})
-                .join(base, user, "left")
-                .withColumn("_rows", F.col("_r1") + F.coalesce("_rows", F.lit(0)))
-                .withColumn("_total", add_vectors("_t1", "_total"))
-                .drop("_r1", "_t1")
-            )
-    columns = df.columns
+        starts = _after_prior(starts, base, user, slots) if slots else base
+    columns = list(keep or df.columns)
     if starts is not None:
         slotted = slotted.join(starts, [user, *slots], "left")
     else:
@@ -85,20 +78,37 @@ def semantic_deviation(
             "_rows": F.lit(None).cast("bigint"), "_total": F.lit(None).cast("array<double>"),
         })
     method = _by_window if dims <= max_window_dims else _by_sorted_pass
-    scored = method(slotted, [user, *slots], keys, embedding, dims)
+    needed = dict.fromkeys([*columns, user, *order, *slots, embedding, "_rows", "_total"])
+    scored = method(slotted.select(*needed), [user, *slots], keys, embedding, dims, columns)
     return scored.select(*columns, "semantic_deviation")
 
 
 def _slot_starts(df: DataFrame, user: str, slots: list[str], embedding: str, dims: int) -> DataFrame:
-    """For every slot of a user, the total of the user's earlier slots."""
-    totals = vector_totals(df, [user, *slots], embedding, dims)
+    """For every slot of a user that was cut, the total of the user's earlier slots."""
+    totals = vector_totals(df.filter(F.col(slots[0]) > 0), [user, *slots], embedding, dims)
     before = Window.partitionBy(user).orderBy(*slots).rowsBetween(Window.unboundedPreceding, -1)
     parts = [F.coalesce(F.sum(F.col("_total")[i]).over(before), F.lit(0.0)) for i in range(dims)]
     rows = F.coalesce(F.sum("_rows").over(before), F.lit(0))
     return totals.select(user, *slots, rows.alias("_rows"), F.array(*parts).alias("_total"))
 
 
-def _by_window(df: DataFrame, by: list[str], keys: list[Key], embedding: str, dims: int) -> DataFrame:
+def _after_prior(starts: DataFrame, prior: DataFrame, user: str, slots: list[str]) -> DataFrame:
+    """Starts of the cut users moved on by their history, and the history of the others.
+
+    Users that were not cut have slot 0, so one join on user and slots finds either,
+    and the rows of a busy user stay apart.
+    """
+    cut = starts.withColumnsRenamed({"_rows": "_r", "_total": "_t"}).join(prior, user, "left")
+    cut = cut.select(
+        user, *slots, (F.col("_r") + F.coalesce("_rows", F.lit(0))).alias("_rows"),
+        add_vectors("_t", "_total").alias("_total"),
+    )
+    return cut.unionByName(prior.withColumns({s: F.lit(0) for s in slots}))
+
+
+def _by_window(
+    df: DataFrame, by: list[str], keys: list[Key], embedding: str, dims: int, columns: list[str]
+) -> DataFrame:
     before = (
         Window.partitionBy(*by).orderBy(*[k.order() for k in keys])
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -107,18 +117,20 @@ def _by_window(df: DataFrame, by: list[str], keys: list[Key], embedding: str, di
     sums = {f"_s{i}": F.sum(f"_e{i}").over(before) for i in range(dims)}
     summed = df.withColumns(parts).withColumns({**sums, "_n": F.count(F.lit(1)).over(before)})
 
+    started = "_total" in df.columns
+
     def total(i: int):
-        start = F.coalesce(F.col("_total")[i], F.lit(0.0))
-        return F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + start
+        own = F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
+        return own + F.coalesce(F.col("_total")[i], F.lit(0.0)) if started else own
 
     # Balanced sums keep the expression tree shallow for the code generator.
     full = summed.withColumns({f"_h{i}": total(i) for i in range(dims)})
     inner = _sum([F.col(f"_e{i}") * F.col(f"_h{i}") for i in range(dims)])
     own = F.sqrt(_sum([F.col(f"_e{i}") * F.col(f"_e{i}") for i in range(dims)]))
     past = F.sqrt(_sum([F.col(f"_h{i}") * F.col(f"_h{i}") for i in range(dims)]))
-    seen = F.col("_n") + F.coalesce("_rows", F.lit(0))
+    seen = F.col("_n") + F.coalesce("_rows", F.lit(0)) if started else F.col("_n")
     distance = F.lit(1.0) - F.try_divide(inner, own * past)
-    return full.withColumn("semantic_deviation", F.when(seen > 0, distance))
+    return full.select(*columns, F.when(seen > 0, distance).alias("semantic_deviation"))
 
 
 def _sum(terms: list):
@@ -127,21 +139,34 @@ def _sum(terms: list):
     return terms[0]
 
 
-def _by_sorted_pass(df: DataFrame, by: list[str], keys: list[Key], embedding: str, dims: int) -> DataFrame:
+def _by_sorted_pass(
+    df: DataFrame, by: list[str], keys: list[Key], embedding: str, dims: int, columns: list[str]
+) -> DataFrame:
     """Each task reads its sorted rows batch by batch and carries one running sum.
 
     The window that marks the first row of a group also gives the shuffle and the sort.
     """
     group = Window.partitionBy(*by).orderBy(*[k.order() for k in keys])
-    arranged = df.withColumn("_first", F.row_number().over(group) == 1)
-    schema = extended(df.schema, "semantic_deviation double")
+    first = F.row_number().over(group) == 1
+    started = "_total" in df.columns
+    arranged = df.withColumn("_first", first)
+    inputs = [*columns, F.col(embedding).alias("_vector"), "_first"]
+    if started:
+        # Only a first row brings its start, and an absent one is an empty list: a
+        # column of null lists made the whole pass three times slower.
+        none = F.array().cast("array<double>")
+        begins = F.col("_first") & F.col("_total").isNotNull()
+        inputs.append(F.coalesce("_rows", F.lit(0)).cast("bigint").alias("_rows"))
+        inputs.append(F.when(begins, F.col("_total")).otherwise(none).alias("_total"))
+    arranged = arranged.select(*inputs)
+    schema = extended(df.select(*columns).schema, "semantic_deviation double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(dims), 0
         for rows in batches:
             if not rows.num_rows:
                 continue
-            vectors = matrix(rows.column(embedding), dims)
+            vectors = matrix(rows.column("_vector"), dims)
             starts = np.flatnonzero(rows.column("_first").to_numpy(zero_copy_only=False))
             edges = [0, *starts[starts > 0].tolist(), len(vectors)]
             opening = set(starts.tolist())
@@ -149,9 +174,9 @@ def _by_sorted_pass(df: DataFrame, by: list[str], keys: list[Key], embedding: st
             known = np.empty(len(vectors), dtype=bool)
             for low, high in zip(edges[:-1], edges[1:]):
                 if low in opening:
-                    base = rows.column("_total")[low].as_py()
-                    total = np.zeros(dims) if base is None else np.asarray(base)
-                    seen = rows.column("_rows")[low].as_py() or 0
+                    base = rows.column("_total")[low].as_py() if started else None
+                    total = np.asarray(base) if base else np.zeros(dims)
+                    seen = rows.column("_rows")[low].as_py() if started else 0
                 part = vectors[low:high]
                 history[low] = total
                 np.cumsum(part[:-1], axis=0, out=history[low + 1:high])
@@ -163,7 +188,6 @@ def _by_sorted_pass(df: DataFrame, by: list[str], keys: list[Key], embedding: st
             known &= norms > 0
             inner = np.einsum("ij,ij->i", vectors, history)
             deviation = 1.0 - np.divide(inner, norms, out=np.zeros_like(inner), where=known)
-            kept = rows.drop_columns(["_first"])
-            yield with_column(kept, "semantic_deviation", pa.array(deviation, mask=~known))
+            yield with_column(rows.select(columns), "semantic_deviation", pa.array(deviation, mask=~known))
 
     return arranged.mapInArrow(run, schema)

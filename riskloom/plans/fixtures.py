@@ -90,10 +90,10 @@ KEYS = ("id", "seq", "user", "ts", "day", "is_malicious", "scenario")
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The feature table, written once: its window over vectors is the costly part."""
     log = activity(spark, sf, embedding=True)
-    meta = activity_features(log, DOMAIN, keep=(*KEYS, "embedding"))
-    full = semantic_deviation(meta, dims=DIMS)
     parts = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBED_CONTEXT)]
-    return materialize(full.select(*[c for c in full.columns if c != "embedding"], *parts), "features")
+    meta = activity_features(log, DOMAIN, keep=(*KEYS, "embedding", *parts))
+    keep = tuple(c for c in meta.columns if c != "embedding")
+    return materialize(semantic_deviation(meta, dims=DIMS, keep=keep), "features")
 
 
 def scores(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> DataFrame:

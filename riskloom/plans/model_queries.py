@@ -19,7 +19,7 @@ COMPONENTS = 8
 
 def deviation(spark, sf):
     log = fx.activity(spark, sf, embedding=True).select("id", "seq", "user", "ts", "embedding")
-    return fx.rounded(semantic_deviation(log).select("id", "semantic_deviation"), "semantic_deviation")
+    return fx.rounded(semantic_deviation(log, dims=fx.DIMS, keep=("id",)), "semantic_deviation")
 
 
 def _vectors(spark, sf):
@@ -73,7 +73,7 @@ def feature_table(spark, sf):
     log = fx.activity(spark, sf, embedding=True).drop("is_malicious")
     labelled = lab.flag_labels(log, fx.label_rows(spark, sf))
     meta = activity_features(labelled, fx.DOMAIN, keep=("id", "seq", "ts", "day", "user", "is_malicious", "embedding"))
-    full = materialize(semantic_deviation(meta), "feature-rows")
+    full = materialize(semantic_deviation(meta, dims=fx.DIMS), "feature-rows")
     rows = causal_pca(full, "day", "embedding", COMPONENTS)
     return rows.select(
         "id", F.col("day").cast("string").alias("day"), "user", "size", "attachment_count",

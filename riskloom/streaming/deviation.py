@@ -51,9 +51,9 @@ def deviation_stream(
         prior = session.read.parquet(f"{state}/{batch_id - 1}") if batch_id else None
         rows = batch.select(*dict.fromkeys([user, *order, embedding, *keep])).persist()
         scored = semantic_deviation(
-            rows, user, order, embedding, dims, prior=prior, rows_per_task=rows_per_task
+            rows, user, order, embedding, dims, prior, rows_per_task, keep=tuple(fields.names)
         )
-        scored.select(*fields.names, "semantic_deviation").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         totals = vector_totals(rows, [user], embedding, dims)
         merge_totals(prior, totals, user).write.mode("overwrite").parquet(f"{state}/{batch_id}")
         rows.unpersist()
