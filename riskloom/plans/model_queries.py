@@ -60,7 +60,7 @@ FROM learn WINDOW w AS (PARTITION BY i, j ORDER BY day ROWS BETWEEN UNBOUNDED PR
 
 
 def reduced(spark, sf):
-    """Length of each row's component vector, and its first component."""
+    """The causal components of every event, with one batch per day."""
     rows = causal_pca(_vectors(spark, sf), "day", "embedding", COMPONENTS)
     return rows.select(
         "id", F.col("day").cast("string").alias("day"),
