@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordering import ROWS_PER_TASK, Key, ordered_slots
+from riskloom.functions.ordering import Key, ordered_slots
 from riskloom.functions.schemas import extended
 from riskloom.functions.vectors import matrix, vector_sum, with_column
 
@@ -23,6 +23,9 @@ from riskloom.functions.vectors import matrix, vector_sum, with_column
 # arithmetic in Arrow batches is used; it measured four times faster at 64.
 MAX_WINDOW_DIMS = 16
 
+# A row with its vector is half a kilobyte and more; this is a usual partition's worth.
+VECTOR_ROWS_PER_TASK = 250_000
+
 
 def vector_dims(df: DataFrame, embedding: str) -> int:
     row = df.filter(F.col(embedding).isNotNull()).select(F.size(embedding)).first()
@@ -50,7 +53,7 @@ def semantic_deviation(
     embedding: str = "embedding",
     dims: int | None = None,
     prior: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = VECTOR_ROWS_PER_TASK,
     max_window_dims: int = MAX_WINDOW_DIMS,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordering import ROWS_PER_TASK
-from riskloom.operators.semantic import add_vectors, semantic_deviation, vector_totals
+from riskloom.operators.semantic import (
+    VECTOR_ROWS_PER_TASK, add_vectors, semantic_deviation, vector_totals,
+)
 from riskloom.session import fresh_path
 from riskloom.streaming.logs import run_to_end
 
@@ -32,7 +33,7 @@ def deviation_stream(
     out: str | None = None,
     state: str | None = None,
     checkpoint: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = VECTOR_ROWS_PER_TASK,
 ) -> DataFrame:
     """Score a stream with the batch operator, one micro-batch after the other.
 
