@@ -13,8 +13,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.llm import repeats
 from riskloom.llm.substring import stretches
@@ -262,6 +264,36 @@ def kept_bytes(text: bytes, spans) -> tuple[bytes, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), len(starts)
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with every text cut to what stands nowhere else; all columns and rows stay.
+
+    A character goes only if all its bytes do, so texts stay valid. A null text stays null.
+    """
+    rows = repeats.keyed(docs, id_col, text_col)
+    rule = repeats.Rule("bytes", settings.get("window", WINDOW), settings.get("anchor", ANCHOR))
+    spans = repeats.repeated_spans(rows, rule, merge_sorted, earlier=False).withColumnsRenamed(
+        {"doc_id": "__span_id", "dkey": "__span_key", "spans": "__spans"})
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else kept_text(t, s) for t, s in zip(texts, found)])
+
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__span_id")) & (key == F.col("__span_key"))
+    joined = docs.join(spans, same, "left")
+    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))
+    return joined.withColumn(text_col, text).select(docs.columns)
+
+
+def kept_text(text: str, spans) -> str:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    gone = covered(len(raw), [s["from"] for s in spans], [s["to"] for s in spans])
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    whole = np.logical_and.reduceat(gone, starts)
+    sizes = np.diff(np.append(starts, len(raw)))
+    return raw[~np.repeat(whole, sizes)].tobytes().decode()
+
+
 def digest(batches):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
