@@ -252,24 +252,21 @@ def hot_windows(bodies: DataFrame, rule: Rule) -> DataFrame:
     """The exact way for crowded anchors: every window counted by its content."""
 
     def spread(batches):
+        size = rule.window * rule.width
         for batch in batches:
-            for row in batch.to_pylist():
-                size = rule.window * rule.width
-                for i in range(row["n"]):
-                    part = row["body"][i * rule.width:i * rule.width + size]
-                    both = xxhash.xxh3_128_digest(part)
-                    yield pa.RecordBatch.from_pylist([{
-                        "anchor": row["anchor"], "content": row["content"], "times": row["times"],
-                        "first": row["first"], "i": i, "h": both}])
-
-    def packed(batches):
-        table = list(spread(batches))
-        if table:
-            yield from pa.Table.from_batches(table).combine_chunks().to_batches()
-
-    rows = bodies.mapInArrow(
-        lambda it: (b for one in it for b in packed([one])),
-        "anchor long, content long, times long, first long, i int, h binary")
+            n = batch.column("n").to_numpy()
+            bodies = batch.column("body").to_pylist()
+            for at in range(0, len(n), 256):
+                part = n[at:at + 256]
+                row = pa.array(np.repeat(np.arange(at, at + len(part)), part))
+                hashes = [xxhash.xxh3_128_digest(body[i:i + size]) for body, k in zip(bodies[at:at + 256], part.tolist())
+                          for i in range(0, k * rule.width, rule.width)]
+                place = np.concatenate([np.arange(k, dtype=np.int32) for k in part])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(row) for c in ("anchor", "content", "times", "first")), pa.array(place),
+                     pa.array(hashes, pa.binary())], names=["anchor", "content", "times", "first", "i", "h"])
+
+    rows = bodies.mapInArrow(spread, "anchor long, content long, times long, first long, i int, h binary")
     rows = materialize(rows, "hot-windows")
     known = rows.groupBy("h").agg(F.sum("times").alias("all"), F.min("first").alias("least"))
     back = rows.join(known, "h").filter("all > 1")
