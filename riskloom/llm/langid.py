@@ -51,7 +51,7 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     cut = points == 0
     letter = letter_table()[points]
-    owner = np.cumsum(cut)
+    owner = np.cumsum(cut) - cut  # the mark that closes a text is its last place
     # a space after each run of letters, and one before each text's first
     kept = np.where(letter, points, 32)
     before = np.concatenate(([False], letter[:-1]))
