@@ -52,13 +52,14 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     """(node, size, shard) for ``nodes`` (node, size), given ``links`` (node, link).
 
     Nodes that name one ``link`` are neighbours through it; a node may have several. A
-    round tells each link how its nodes are spread, each node the sum over its links, and
-    a node wishes to go where most neighbours are (itself included; ties go round by the
-    link, so that all its nodes agree). Wishes are admitted by gain under each shard's
-    quota. At the end, nodes without neighbours even out what is left, then others.
+    round tells each link what part of its nodes each shard holds, each node the sum over
+    its links, and a node wishes to go where that is largest among shards with room
+    (itself included; ties go round by the link, so that all its nodes agree). Wishes are
+    admitted by gain under each shard's quota. At the end, nodes without neighbours even
+    out what is left, then others.
     """
-    shared = links.groupBy("link").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("link")
-    links = materialize(links.join(shared, "link").select("node", "link").distinct(), "links")
+    shared = links.distinct().groupBy("link").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    links = materialize(links.distinct().join(shared, "link").select("node", "link", "members"), "links")
     linked = links.select("node").distinct().withColumn("linked", F.lit(1))
     spread = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(1 << 20)).cast("int")
     labels = nodes.join(linked, "node", "left").select(
@@ -68,25 +69,32 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     total = sum(shard_sizes(labels, shards).values())
     room = math.ceil(total / shards * (1 + SLACK))
     for _ in range(rounds):
-        votes = links.join(labels.select("node", "shard"), "node").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-        spreads = votes.groupBy("link").agg(F.collect_list(F.struct("shard", "n")).alias("all"))
+        # nodes without neighbours can fill up any shard later, so only linked ones take up room
+        sizes = shard_sizes(labels.filter("linked = 1"), shards)
+        roomy = [s for s in sizes if sizes[s] < room * (1 - SLACK / 4)]
+        votes = links.join(labels.select("node", "shard"), "node").groupBy("link", "members", "shard").agg(
+            F.count(F.lit(1)).alias("n"))
+        spreads = votes.groupBy("link").agg(
+            F.collect_list(F.struct("shard", (F.col("n") / F.col("members")).alias("part"))).alias("all"))
         # one entry per shard at most, so the message to a node is small however large the link
         told = links.join(spreads, "link").select("node", "link", F.inline("all"))
-        sums = told.groupBy("node", "shard").agg(F.sum("n").alias("n"), F.min("link").alias("link"))
-        turn = F.pmod(F.col("shard") - F.pmod(F.xxhash64("first"), F.lit(shards)), F.lit(shards))
+        sums = told.groupBy("node", "shard").agg(F.round(F.sum("part"), 9).alias("part"))
         firsts = links.groupBy("node").agg(F.min("link").alias("first"))
-        best = sums.join(firsts, "node").groupBy("node").agg(
-            F.max(F.struct("n", (-turn).alias("turn"), "shard")).alias("best"))
-        wishes = labels.join(best, "node").filter("best.shard <> shard").select(
-            "node", "size", F.col("shard").alias("from"), F.col("best.shard").alias("to"),
-            F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("best.n").cast("double")))).cast("int").alias("gain"),
+        turn = F.pmod(F.col("there") - F.pmod(F.xxhash64("first"), F.lit(shards)), F.lit(shards))
+        seen = sums.withColumnRenamed("shard", "there").join(labels, "node").join(firsts, "node")
+        seen = seen.filter((F.col("there") == F.col("shard")) | F.col("there").isin(roomy))
+        best = seen.groupBy("node", "size", "shard", "slot").agg(
+            F.max(F.struct("part", (-turn).alias("turn"), "there")).alias("best"),
+            F.max(F.when(F.col("there") == F.col("shard"), F.col("part"))).alias("now"))
+        wishes = best.filter("best.there <> shard").select(
+            "node", "size", F.col("shard").alias("from"), F.col("best.there").alias("to"),
+            F.least(F.lit(GAINS - 1), F.floor((F.col("best.part") - F.col("now")) * GAINS)).cast("int").alias("gain"),
             F.pmod(F.col("slot"), F.lit(SLICES)).alias("slice"))
         wishes = materialize(wishes, "wishes")
         table = [r.asDict() for r in wishes.groupBy("from", "to", "gain", "slice").agg(F.sum("size").alias("bytes")).collect()]
         if not table:
             break
-        # nodes without neighbours can fill up any shard later, so only linked ones take up room
-        chosen = admitted(table, shard_sizes(labels.filter("linked = 1"), shards), room)
+        chosen = admitted(table, sizes, room)
         if not chosen:
             break
         allowed = nodes.sparkSession.createDataFrame(chosen, "from int, to int, gain int, slice int")
