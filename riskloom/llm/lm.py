@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.langid import remainder
@@ -353,15 +353,14 @@ def code_lengths(docs: DataFrame, tree: DataFrame, limit: int = BROADCAST_NODES)
 END_TOKEN = int(xxhash.xxh64_intdigest(b"\xff")) >> 1
 
 
-def word_base(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     """((doc_id, dkey, n_tokens, n_known, base_score), N): a unigram model over words.
 
-    ``docs`` has (doc_id, dkey, text, train). Documents are dealt to ``parts`` by a hash.
-    Each part lists its distinct words once; counts come back to the parts, and each part
-    scores its documents with its own list.
+    ``docs`` has (doc_id, dkey, text, train, part), where ``part`` names a stretch of the
+    input of bounded size, the same whenever it is read. Each part lists its distinct
+    words once; counts come back to the parts, and each part scores its documents with
+    its own list. So texts move once, and a frequent word is one row per part.
     """
-    part = F.pmod(F.xxhash64("doc_id", "dkey"), F.lit(parts)).cast("int")
-    dealt = materialize(docs.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part"), "dealt")
 
     def hashes(text, cache):
         words = tokens_of(text)
@@ -379,10 +378,10 @@ def word_base(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
                 pick = of == p
                 word, times = grouped(words[pick], trained[pick])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(word), p, np.int32)), pa.array(word.view(np.int64)), pa.array(times)],
+                    [pa.array(np.full(len(word), p, np.int64)), pa.array(word.view(np.int64)), pa.array(times)],
                     names=["part", "word", "times"])
 
-    lists = materialize(dealt.select("part", "train", "text").mapInArrow(listed, "part int, word long, times long").groupBy(
+    lists = materialize(docs.select("part", "train", "text").mapInArrow(listed, "part long, word long, times long").groupBy(
         "part", "word").agg(F.sum("times").alias("times")), "words")
     counts = lists.groupBy("word").agg(F.sum("times").alias("c"))
     n, v = materialize(counts.filter("c > 0"), "counts").agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -405,7 +404,7 @@ def word_base(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
             name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(
                 (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())))}})
 
-    out = dealt.select("doc_id", "dkey", "text", "part").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
+    out = docs.select("doc_id", "dkey", "text", "part").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
         score, "doc_id long, dkey long, n_tokens long, n_known long, base_score double")
     return out, int(n)
 
@@ -435,19 +434,26 @@ def language_model_scores(docs: DataFrame, training: DataFrame, id_col: str = "d
                         tree, limit)
 
 
-#: Bytes of text per part of the word lists.
-PART_BYTES = 24_000_000
+#: Bytes of a file that one part of the word lists covers, about.
+PART_BYTES = 16 << 20
+
+
+def file_parts(spark: SparkSession) -> Column:
+    """Names the part of a row read from files: its file and split, the latter once more by a hash if it is large."""
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start",
+                      F.pmod(F.xxhash64("text"), F.lit(max(1, -(-split // PART_BYTES)))))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source.select("doc_id", "text")
     held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
     scores = language_model_scores(docs, docs.filter(remainder("doc_id", 10) != 0))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("dkey"), text.alias("text"),
-                        F.coalesce(remainder("doc_id", 10) != 0, F.lit(False)).alias("train"))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    base, n = word_base(keyed, max(1, -(-size // PART_BYTES)))
+    keyed = source.select("doc_id", F.xxhash64(text).alias("dkey"), text.alias("text"), file_parts(spark).alias("part"),
+                          F.coalesce(remainder("doc_id", 10) != 0, F.lit(False)).alias("train"))
+    base, n = word_base(keyed)
     once = scores.dropDuplicates(["doc_id", "dkey"]).select(
         F.col("doc_id").alias("s_id"), F.col("dkey").alias("s_key"), (F.col("ln_p") / np.log(10)).alias("score"))
     both = base.join(once, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("dkey") == F.col("s_key")))
