@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.text_tokens import WordTokens
+from riskloom.llm.worker import kept
 from riskloom.session import materialize
 
 SIZE = 2048
@@ -30,7 +31,8 @@ def piece_table(docs: DataFrame, id_col: str, text_col: str, size: int, vocabula
     """One row per piece of at most ``size`` ids; every document ends with id 0."""
 
     def cut(batches):
-        tokens = WordTokens(vocabulary or vocabulary_path())
+        path = vocabulary or vocabulary_path()
+        tokens = kept(f"tokens {path}", lambda: WordTokens(path))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

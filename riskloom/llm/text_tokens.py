@@ -20,7 +20,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordTokens(dict):
     """Ids of white-space-separated words; ``keep`` bounds what is remembered."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         super().__init__()
         from tokenizers import Tokenizer
 
