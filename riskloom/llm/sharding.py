@@ -53,7 +53,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
 
     Nodes that name one ``link`` are neighbours through it; a node may have several. A
     round tells each link what part of its nodes each shard holds, each node the sum over
-    its links, and a node wishes to go where that is largest among shards with room
+    its links, and a node wishes to go where that is largest
     (itself included; ties go round by the link, so that all its nodes agree). Wishes are
     admitted by gain under each shard's quota. At the end, nodes without neighbours even
     out what is left, then others.
@@ -71,7 +71,6 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     for _ in range(rounds):
         # nodes without neighbours can fill up any shard later, so only linked ones take up room
         sizes = shard_sizes(labels.filter("linked = 1"), shards)
-        roomy = [s for s in sizes if sizes[s] < room * (1 - SLACK / 4)]
         votes = links.join(labels.select("node", "shard"), "node").groupBy("link", "members", "shard").agg(
             F.count(F.lit(1)).alias("n"))
         spreads = votes.groupBy("link").agg(
@@ -82,7 +81,6 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         firsts = links.groupBy("node").agg(F.min("link").alias("first"))
         turn = F.pmod(F.col("there") - F.pmod(F.xxhash64("first"), F.lit(shards)), F.lit(shards))
         seen = sums.withColumnRenamed("shard", "there").join(labels, "node").join(firsts, "node")
-        seen = seen.filter((F.col("there") == F.col("shard")) | F.col("there").isin(roomy))
         best = seen.groupBy("node", "size", "shard", "slot").agg(
             F.max(F.struct("part", (-turn).alias("turn"), "there")).alias("best"),
             F.max(F.when(F.col("there") == F.col("shard"), F.col("part"))).alias("now"))
