@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.windows import mixed
+from riskloom.session import materialize
 
 #: Characters per n-gram.
 GRAMS = (2, 3, 4)
@@ -131,7 +132,7 @@ class Model:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fill the filter from all texts with a language; rows with a null one teach nothing."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = gram_counts(rows.filter("lang is not null"))
+    counts = materialize(gram_counts(rows.filter("lang is not null")), "grams")
     total = counts.groupBy("lang").agg(F.sum("times").alias("total"))
     rates = counts.join(F.broadcast(total), "lang").select("gram", "lang", (F.col("times") / F.col("total")).alias("rate"))
     languages = sorted(r["lang"] for r in total.select("lang").collect())
