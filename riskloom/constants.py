@@ -6,7 +6,8 @@ LOG_COLUMNS = [
     "activity", "size", "attachments", "content",
 ]
 RECIPIENT_COLUMNS = ["to", "cc", "bcc"]
-LOG_TIME_FORMAT = "MM/dd/yyyy HH:mm:ss"
+LOG_TIME_FORMAT = "M/d/yyyy H:mm:ss"
+LOG_TIME_TEXT = "MM/dd/yyyy HH:mm:ss"
 INDEX_TIME_FORMAT = "M/d/yyyy H:mm:ss"
 INTERNAL_DOMAIN = "dtaa.com"
 RELEASE = "6.2"
@@ -15,7 +16,6 @@ WORKDAY_END_HOUR = 18
 
 # --- text style check -------------------------------------------------------
 STOPWORDS = ["the", "is", "and", "of", "to", "in", "a", "was", "were"]
-STYLE_SAMPLE_ROWS = 300
 SNIPPET_CHARS = 160
 SNIPPETS = 5
 

@@ -11,8 +11,12 @@ from riskloom import constants as C
 
 
 def number(col: Column) -> Column:
-    """Lenient number parse: text that is no number, NaN and infinities become null."""
-    return finite(col.try_cast("double"))
+    """Lenient number parse: text that is no number, NaN and infinities become null.
+
+    The cast alone would take Java's type suffixes, such as ``12d``.
+    """
+    plain = col.cast("string").rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    return F.when(plain, finite(col.try_cast("double")))
 
 
 def finite(col: Column) -> Column:

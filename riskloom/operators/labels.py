@@ -36,11 +36,13 @@ def scenario_hits(queue: DataFrame, *by: str) -> DataFrame:
 
 
 def found_labels(df: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
-    return labels.select(id_col).distinct().join(df.select(id_col), id_col, "left_semi")
+    """Labelled ids that the log holds. The log is reduced to labelled ids where it is read."""
+    return ids_in_both(labels, df, id_col)
 
 
 def missing_labels(df: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
-    return labels.select(id_col).distinct().join(df.select(id_col), id_col, "left_anti")
+    """All labelled ids that the log does not hold."""
+    return ids_only_in(labels, df, id_col)
 
 
 def label_match(df: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
@@ -62,13 +64,21 @@ def label_match(df: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFra
     )
 
 
-def first_missing(df: DataFrame, labels: DataFrame, id_col: str = "id", n: int = 20) -> DataFrame:
-    return missing_labels(df, labels, id_col).orderBy(id_col).limit(n)
+def ids_in_both(small: DataFrame, large: DataFrame, id_col: str) -> DataFrame:
+    """Distinct ids of ``small`` that ``large`` holds too.
+
+    ``large`` meets the ids of ``small`` by a semi join, so it is not exchanged while those
+    fit a broadcast, and only what is left of it becomes distinct.
+    """
+    wanted = small.select(id_col).distinct()
+    return large.select(id_col).join(wanted, id_col, "left_semi").distinct()
 
 
 def common_ids(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
-    return a.select(id_col).intersect(b.select(id_col))
+    """Distinct ids of both; ``a`` is the smaller table."""
+    return ids_in_both(a, b, id_col)
 
 
 def ids_only_in(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
-    return a.select(id_col).distinct().exceptAll(b.select(id_col).distinct())
+    """Distinct ids of ``a``, the smaller table, that ``b`` does not hold."""
+    return a.select(id_col).distinct().join(ids_in_both(a, b, id_col), id_col, "left_anti")

@@ -66,35 +66,25 @@ def activity_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("activity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def style_sample(df: DataFrame, id_col: str = "id", n: int = C.STYLE_SAMPLE_ROWS) -> DataFrame:
-    """A repeatable sample without replacement: the rows with the least id digests."""
-    digest = F.md5(F.col(id_col).cast("string"))
-    return df.withColumn("_digest", digest).orderBy("_digest", id_col).limit(n)
+def text_style(df: DataFrame, text: str, id_col: str = "id") -> DataFrame:
+    """Whether the texts read as sentences or as bare keywords, over all rows.
 
-
-def text_style(df: DataFrame, text: str, id_col: str = "id", n: int = C.STYLE_SAMPLE_ROWS) -> DataFrame:
-    """Whether a sample of texts reads as sentences or as bare keywords."""
-    return style_summary(style_sample(df.select(id_col, text), id_col, n), text, id_col)
-
-
-def style_summary(sample: DataFrame, text: str, id_col: str = "id") -> DataFrame:
-    """The style marks of sampled rows. Where the text is in another table, sample the
-    log first and join the text to the sample only."""
+    The examples are the rows with the least id digests, so they are the same in every run.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1))
-    marks = sample.select(
-        "_digest", id_col, text,
+    marks = df.select(
         F.col(text).rlike("[.!?]").cast("int").alias("sentence"),
         F.arrays_overlap(words, F.array(*[F.lit(w) for w in C.STOPWORDS])).cast("int").alias("stopword"),
         F.size(words).alias("words"),
     )
-    # At most the sample, a few hundred rows.
-    head = F.slice(F.array_sort(F.collect_list(
-        F.struct("_digest", id_col, F.substring(text, 1, C.SNIPPET_CHARS).alias("snippet"))
-    )), 1, C.SNIPPETS)
-    return marks.agg(
-        F.count(F.lit(1)).alias("n_sampled"),
+    few = df.select(F.md5(F.col(id_col).cast("string")).alias("_digest"), id_col,
+                    F.substring(text, 1, C.SNIPPET_CHARS).alias("snippet")).orderBy("_digest", id_col).limit(C.SNIPPETS)
+    head = few.agg(F.transform(F.array_sort(F.collect_list(F.struct("_digest", id_col, "snippet"))),
+                               lambda s: s["snippet"]).alias("example_snippets"))
+    counts = marks.agg(
+        F.count(F.lit(1)).alias("n_texts"),
         F.round(100 * F.avg("sentence"), 1).alias("pct_with_sentence_punctuation"),
         F.round(100 * F.avg("stopword"), 1).alias("pct_containing_common_stopwords"),
         F.round(F.avg("words"), 1).alias("avg_word_count"),
-        F.transform(head, lambda s: s["snippet"]).alias("example_snippets"),
     )
+    return counts.crossJoin(F.broadcast(head))  # one row each

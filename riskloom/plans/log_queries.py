@@ -100,7 +100,7 @@ def _incident_files(spark, sf) -> tuple[str, str]:
         (F.col("user") % 5 != 0) & ((F.col("activity") != fx.LABEL_TYPE) | (F.col("is_malicious") == 1))
     )
     tail = F.when(F.col("k") % 5 > 0, F.repeat(F.lit(',"x, y"'), F.col("k") % 5)).otherwise("")
-    line = F.concat_ws(",", "activity", "id", F.date_format("ts", C.LOG_TIME_FORMAT), "user")
+    line = F.concat_ws(",", "activity", "id", F.date_format("ts", C.LOG_TIME_TEXT), "user")
     named = rows.select(
         F.concat(F.lit("r-"), F.col("user"), F.lit(".csv")).alias("details"),
         F.concat(line, tail).alias("value"), "user",
@@ -209,7 +209,7 @@ def label_match_report(spark, sf):
 
 
 def label_match_missing(spark, sf):
-    return lab.first_missing(fx.activity(spark, sf), fx.label_rows(spark, sf))
+    return lab.missing_labels(fx.activity(spark, sf), fx.label_rows(spark, sf))
 
 
 def id_intersect(spark, sf):
@@ -234,8 +234,8 @@ def activity_counts(spark, sf):
 
 
 def text_style_profile(spark, sf):
-    sample = prof.style_sample(fx.activity(spark, sf).select("id"))
-    style = prof.style_summary(fx.with_content(sample, fx.table(spark, sf, "documents")), "content")
+    rows = fx.with_content(fx.activity(spark, sf).select("id"), fx.table(spark, sf, "documents"))
+    style = prof.text_style(rows, "content")
     return style.select(
         *[c for c in style.columns if c != "example_snippets"],
         F.md5(F.array_join("example_snippets", "|")).alias("snippet_digest"),
@@ -245,10 +245,10 @@ def text_style_profile(spark, sf):
 STYLE_SQL = rf"""WITH {sql.ACT}, sample AS (
 SELECT md5(CAST(a.id AS VARCHAR)) AS digest, a.id, d.text
 FROM act a JOIN documents d ON d.doc_id = a.id % (SELECT count(*) FROM documents)
-ORDER BY digest, a.id LIMIT 300), words AS (
+), words AS (
 SELECT digest, id, text, regexp_matches(text, '[.!?]') AS sentence,
   regexp_extract_all(lower(text), '[a-z'']+') AS w FROM sample)
-SELECT count(*) AS n_sampled,
+SELECT count(*) AS n_texts,
   round(100.0 * avg(CASE WHEN sentence THEN 1 ELSE 0 END), 1) AS pct_with_sentence_punctuation,
   round(100.0 * avg(CASE WHEN list_has_any(w, ['the','is','and','of','to','in','a','was','were']) THEN 1 ELSE 0 END), 1)
     AS pct_containing_common_stopwords,
@@ -273,7 +273,7 @@ def coerce_values(spark, sf):
         F.when(F.col("k") % 4 == 0, "n/a").when(F.col("k") % 4 == 1, "")
         .when(F.col("k") % 4 == 2, F.concat(F.col("k"), F.lit(".5"))).otherwise("NaN")
     )
-    time = F.when(F.col("k") % 7 == 0, "/21/2011 11:43:39").otherwise(F.date_format("ts", C.LOG_TIME_FORMAT))
+    time = F.when(F.col("k") % 7 == 0, "/21/2011 11:43:39").otherwise(F.date_format("ts", C.LOG_TIME_TEXT))
     return log.select(
         "id", S.number(number).alias("number"), _moment(S.event_time(time)).alias("event_time")
     )
@@ -341,7 +341,7 @@ QUERIES = {
         SELECT (SELECT count(*) FROM act) AS total_rows_scanned, e.n AS n_expected, f.n AS n_found,
           e.n - f.n AS n_missing FROM f, e"""),
     "label_match_missing": (label_match_missing, f"""WITH {sql.ACT}, {sql.LABELS}
-        SELECT DISTINCT id FROM lab WHERE id NOT IN (SELECT id FROM act) ORDER BY id LIMIT 20"""),
+        SELECT DISTINCT id FROM lab WHERE id NOT IN (SELECT id FROM act)"""),
     "id_intersect": (id_intersect, f"WITH {sql.ACT}, {sql.LABELS} SELECT id FROM lab INTERSECT SELECT id FROM act"),
     "id_except": (id_except, f"WITH {sql.ACT}, {sql.LABELS} SELECT id FROM lab EXCEPT SELECT id FROM act"),
     "log_profile": (log_profile, f"""WITH {sql.ACT}, {sql.META}

@@ -36,7 +36,7 @@ def read_detail_rows(spark: SparkSession, path: str) -> DataFrame:
     """
     return (
         spark.read.schema(text_schema(PREFIX_COLUMNS))
-        .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+        .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("multiLine", True)
         .csv(path)
         .withColumn("details", csv_name())
         .na.fill("")
@@ -72,9 +72,10 @@ def read_incidents(
     """Labels of a release. Incidents without a detail file are named in a warning."""
     index = read_incident_index(spark, index_path, release)
     details = read_detail_rows(spark, detail_path)
-    absent = [r[0] for r in missing_details(index, details).select("details").limit(20).collect()]
-    if absent:
-        warnings.warn(f"detail files missing, skipped: {sorted(absent)}", stacklevel=2)
+    missing = missing_details(index, details).select("details").distinct()
+    if absent := missing.count():
+        some = sorted(r[0] for r in missing.limit(5).collect())
+        warnings.warn(f"{absent} detail files missing, skipped, such as {some}", stacklevel=2)
     return extract_labels(index, details, log_type)
 
 

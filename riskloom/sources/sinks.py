@@ -17,7 +17,9 @@ def publish(
 
     An existing table is refused unless ``overwrite`` is set. The new table is
     written beside the old one and takes its place only after the whole job has
-    succeeded; a failed job leaves the old table as it was.
+    succeeded; a failed job leaves the old table as it was. Between the two renames at
+    the end there is a moment without a table; if the second one fails, the old table
+    is put back.
     """
     spark = df.sparkSession
     present = exists(spark, path)
@@ -34,7 +36,11 @@ def publish(
         retired = f"{path}.retired"
         remove(spark, retired)
         move(spark, path, retired)
-        move(spark, staging, path)
+        try:
+            move(spark, staging, path)
+        except Exception:
+            move(spark, retired, path)
+            raise
         remove(spark, retired)
     else:
         move(spark, staging, path)
@@ -42,7 +48,7 @@ def publish(
 
 def publish_summary(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write a run summary of one row as one JSON document."""
-    publish(df.coalesce(1), path, "json", overwrite)
+    publish(df.repartition(1), path, "json", overwrite)
 
 
 def as_summary(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from riskloom.operators.capacity import (
     cumulative_regret, daily_metrics, global_budget_metrics, run_summary, top_by_budget,
 )
 from riskloom.operators.compare import scenario_coverage
-from riskloom.operators.labels import attach_scenario, first_missing, flag_labels, label_match
+from riskloom.operators.labels import attach_scenario, flag_labels, label_match, missing_labels
 from riskloom.operators.queues import FILL, check_shares, merge_queues, merged_summary
 
 DAY = dt.date(2024, 1, 1)
@@ -90,7 +90,7 @@ def test_labels(spark):
         **{i: 0 for i in range(10)}, 1: 2, 4: 3
     }
     assert tuple(label_match(log, labels).first()) == (10, 3, 2, 1)
-    assert [r[0] for r in first_missing(log, labels).collect()] == [77]
+    assert [r[0] for r in missing_labels(log, labels).collect()] == [77]
 
 
 def test_coverage_shows_zero_hits(spark):
@@ -116,3 +116,13 @@ def test_bootstrap(spark):
     assert 0 <= row["ci_lower"] <= 2 <= row["ci_upper"] <= 4
     with pytest.raises(ValueError, match="differ in their days"):
         paired_day_difference(a, series(spark, [1, 2, 3, 4], first=1))
+
+
+def test_all_missing_labels_come_back_and_the_log_is_not_exchanged(spark, tmp_path):
+    spark.range(50).write.parquet(f"{tmp_path}/labels")
+    spark.range(30, 100_000).write.parquet(f"{tmp_path}/log")
+    labels, log = spark.read.parquet(f"{tmp_path}/labels"), spark.read.parquet(f"{tmp_path}/log")
+    missing = missing_labels(log, labels)
+    assert sorted(r[0] for r in missing.collect()) == list(range(30))
+    plan = missing._jdf.queryExecution().toString()
+    assert "LeftSemi, BuildRight" in plan and "SortMergeJoin" not in plan

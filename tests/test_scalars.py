@@ -70,10 +70,16 @@ def test_raw_log_to_features(spark):
     size = numeric_profile(raw).filter("measure = 'size_bytes'").first()
     assert (size["n"], size["mean"], size["std"]) == (1, 100.0, 0.0)
     style = text_style(raw, "content").first()
-    assert (style["n_sampled"], style["pct_with_sentence_punctuation"], style["avg_word_count"]) == (2, 50.0, 4.0)
+    assert (style["n_texts"], style["pct_with_sentence_punctuation"], style["avg_word_count"]) == (2, 50.0, 4.0)
     assert profile_log(raw.limit(0)).first()["pct_with_attachment"] in (0.0, None)
 
 
+def test_type_suffixes_are_no_numbers_and_dates_need_no_zeros(spark):
+    row = one(spark, a=S.number(F.lit("12d")), b=S.number(F.lit("1F")), c=S.number(F.lit(" -.5e3 ")), d=S.number(F.lit(7)),
+              e=S.event_time(F.lit("1/2/2010 7:05:09")).cast("string"))
+    assert tuple(row) == (None, None, -500.0, 7.0, "2010-01-02 07:05:09")
+
+
 def test_split_is_inclusive_and_drops_unknown_times(spark):
     rows = spark.createDataFrame(
         [("2024-01-15 23:59:59.9", 1), ("2024-01-16 00:00:00", 1), (None, 1)], "t string, is_malicious int"

@@ -179,3 +179,29 @@ def test_encoder_is_built_once_per_task_and_batches(spark):
     rows = embed_text(df, "t", Lengths, batch_size=3).collect()
     assert [r["embedding"] for r in rows] == [[float(i), 1.0] for i in range(20)]
     assert embed_text(df.limit(0), "t", LetterCounts).count() == 0
+
+
+def test_a_quoted_line_break_in_a_detail_row_makes_no_row(spark, tmp_path):
+    from riskloom.sources.incidents import read_detail_rows
+
+    (tmp_path / "r1.csv").write_text('email,{1},d,u,"a\nemail,{9},x"\nemail,{2},d,u\n')
+    assert sorted(r["id"] for r in read_detail_rows(spark, str(tmp_path)).collect()) == ["{1}", "{2}"]
+
+
+def test_a_failed_swap_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    from riskloom.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.publish(spark.range(3), path)
+    real, calls = sinks.move, []
+
+    def move(s, a, b):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("store away")
+        real(s, a, b)
+
+    monkeypatch.setattr(sinks, "move", move)
+    with pytest.raises(OSError):
+        sinks.publish(spark.range(9), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 3
