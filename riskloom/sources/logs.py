@@ -177,12 +177,16 @@ def read_scores(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def read_daily(spark: SparkSession, path: str, budget: float | None = None) -> DataFrame:
-    """A daily series, for one budget when given. Budgets match within 1e-12."""
+    """A daily series, for one budget when given. Budgets match within 1e-12.
+
+    Days read ``08/31/2010`` or ``2010-08-31``; another text becomes null.
+    """
     raw = spark.read.options(**QUOTED_CSV).csv(path)
     if budget is not None:
         raw = raw.filter(F.abs(F.col("budget").cast("double") - F.lit(float(budget))) < 1e-12)
     return raw.select(
-        F.to_date("date", "yyyy-MM-dd").alias("day"),
+        F.to_date(F.coalesce(F.try_to_timestamp("date", F.lit("M/d/yyyy")),
+                             F.try_to_timestamp("date", F.lit("yyyy-MM-dd")))).alias("day"),
         F.col("true_positives").cast("bigint").alias("true_positives"),
     )
 

@@ -205,3 +205,11 @@ def test_a_failed_swap_puts_the_old_table_back(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         sinks.publish(spark.range(9), path, overwrite=True)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_daily_series_read_both_ways_of_writing_a_day(spark, tmp_path):
+    from riskloom.sources.logs import read_daily
+
+    (tmp_path / "d.csv").write_text("date,budget,true_positives\n08/01/2010,0.01,3\n2010-08-02,0.01,4\n08/03/2010,0.05,5\n?,0.01,6\n")
+    got = {str(r["day"]): r["true_positives"] for r in read_daily(spark, str(tmp_path), 0.01).collect()}
+    assert got == {"2010-08-01": 3, "2010-08-02": 4, "None": 6}
