@@ -390,16 +390,12 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     floor = np.log10(n + 0.1 * (v + 1))
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("word").to_numpy())
-        word, c = words.column("word").to_numpy()[order], words.column("c").to_numpy()[order]
-        cache, rows = Halved(), []
+        cache, rows = Counted(words.column("word").to_pylist(), words.column("c").to_pylist()), []
+        end = cache.counts.get(END_TOKEN, 0)
         for text in texts.column("text"):
-            h = hashes(text.as_py(), cache).view(np.int64)
-            seen = np.zeros(len(h), np.int64)
-            if len(word):
-                at = np.minimum(np.searchsorted(word, h), len(word) - 1)
-                seen = np.where(word[at] == h, c[at], 0)
-            rows.append((len(h), int((seen > 0).sum()), float((np.log10(seen + 0.1) - floor).sum())))
+            found = tokens_of(text.as_py())
+            seen = np.append(np.fromiter(map(cache.__getitem__, found), np.float64, len(found)), end)
+            rows.append((len(seen), int(np.count_nonzero(seen)), float((np.log10(seen + 0.1) - floor).sum())))
         return pa.table({"doc_id": texts.column("doc_id"), "dkey": texts.column("dkey"), **{
             name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(
                 (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())))}})
@@ -409,6 +405,18 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     return out, int(n)
 
 
+class Counted(dict):
+    """Counts by word, from counts by hash: one look-up for a word met before."""
+
+    def __init__(self, hashes: list[int], counts: list[int]):
+        super().__init__()
+        self.counts = dict(zip(hashes, counts))
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = self.counts.get(xxhash.xxh64_intdigest(word) >> 1, 0)
+        return value
+
+
 class Halved(dict):
     """63-bit hashes of words, remembered for a bounded number of them."""
 
