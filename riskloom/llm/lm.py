@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -353,6 +354,23 @@ def code_lengths(docs: DataFrame, tree: DataFrame, limit: int = BROADCAST_NODES)
 END_TOKEN = int(xxhash.xxh64_intdigest(b"\xff")) >> 1
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(63-bit hashes of the distinct tokens, which of them stand where, tokens per text).
+
+    The words of :func:`tokens_of` with the end of its text after each text's last one;
+    a distinct word is hashed once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
+    # white space at either end of a text leaves an empty piece
+    full = pc.greater(pc.binary_length(flat), 0)
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+    words = flat.filter(full).dictionary_encode()
+    hashes = [xxhash.xxh64_intdigest(w) >> 1 for w in words.dictionary.cast(pa.binary()).to_pylist()]
+    at = np.insert(words.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(hashes))
+    return np.array([*hashes, END_TOKEN], np.int64), at, sizes + 1
+
+
 def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     """((doc_id, dkey, n_tokens, n_known, base_score), N): a unigram model over words.
 
@@ -362,23 +380,17 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     its own list. So texts move once, and a frequent word is one row per part.
     """
 
-    def hashes(text, cache):
-        words = tokens_of(text)
-        return np.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.uint64(END_TOKEN))
-
     def listed(batches):
-        cache = Halved()
         for batch in batches:
             where, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            found = [hashes(t.as_py(), cache) for t in batch.column(2)]
-            sizes = [len(f) for f in found]
-            words, of = np.concatenate(found), np.repeat(where, sizes)
-            trained = np.repeat(train, sizes).astype(np.int64)
-            for p in np.unique(of):
+            hashes, word, sizes = words_of(batch.column(2))
+            of, trained = np.repeat(where, sizes), np.repeat(train, sizes)
+            for p in np.unique(where):
                 pick = of == p
-                word, times = grouped(words[pick], trained[pick])
+                found, place = np.unique(word[pick], return_inverse=True)
+                times = np.bincount(place, trained[pick], len(found)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(word), p, np.int64)), pa.array(word.view(np.int64)), pa.array(times)],
+                    [pa.array(np.full(len(found), p, np.int64)), pa.array(hashes[found]), pa.array(times)],
                     names=["part", "word", "times"])
 
     lists = materialize(docs.select("part", "train", "text").mapInArrow(listed, "part long, word long, times long").groupBy(
@@ -387,46 +399,29 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     n, v = materialize(counts.filter("c > 0"), "counts").agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = n or 0, v or 0
     known = lists.select("part", "word").join(counts, "word").filter("c > 0").select("part", "word", "c")
-    floor = np.log10(n + 0.1 * (v + 1))
+    floor, empty_longs = np.log10(n + 0.1 * (v + 1)), np.empty(0, np.int64)
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        cache, rows = Counted(words.column("word").to_pylist(), words.column("c").to_pylist()), []
-        end = cache.counts.get(END_TOKEN, 0)
-        for text in texts.column("text"):
-            found = tokens_of(text.as_py())
-            seen = np.append(np.fromiter(map(cache.__getitem__, found), np.float64, len(found)), end)
-            rows.append((len(seen), int(np.count_nonzero(seen)), float((np.log10(seen + 0.1) - floor).sum())))
-        return pa.table({"doc_id": texts.column("doc_id"), "dkey": texts.column("dkey"), **{
-            name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(
-                (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())))}})
+        word, c = words.column("word").to_numpy(), words.column("c").to_numpy()
+        order = np.argsort(word)
+        word, c = np.append(word[order], -1), np.append(c[order], 0)
+        n_tokens, n_known, base = [empty_longs], [empty_longs], [np.empty(0)]
+        for text in texts.column("text").chunks:
+            hashes, at, sizes = words_of(text)
+            place = np.searchsorted(word[:-1], hashes)
+            seen = np.where(word[place] == hashes, c[place], 0)
+            starts = np.cumsum(sizes) - sizes
+            n_tokens.append(sizes)
+            n_known.append(np.add.reduceat((seen > 0).astype(np.int64)[at], starts) if len(sizes) else empty_longs)
+            base.append(np.add.reduceat((np.log10(seen + 0.1) - floor)[at], starts) if len(sizes) else np.empty(0))
+        return pa.table({"doc_id": texts.column("doc_id"), "dkey": texts.column("dkey"), "n_tokens": np.concatenate(n_tokens),
+                         "n_known": np.concatenate(n_known), "base_score": np.concatenate(base)})
 
     out = docs.select("doc_id", "dkey", "text", "part").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
         score, "doc_id long, dkey long, n_tokens long, n_known long, base_score double")
     return out, int(n)
 
 
-class Counted(dict):
-    """Counts by word, from counts by hash: one look-up for a word met before."""
-
-    def __init__(self, hashes: list[int], counts: list[int]):
-        super().__init__()
-        self.counts = dict(zip(hashes, counts))
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = self.counts.get(xxhash.xxh64_intdigest(word) >> 1, 0)
-        return value
-
-
-class Halved(dict):
-    """63-bit hashes of words, remembered for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) >> 1
-        return value
-
-
 def language_model_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           limit: int = BROADCAST_NODES) -> DataFrame:
     """(doc_id, dkey, n_bytes, ln_p): every text of ``docs`` under a tree learnt from ``training``.
