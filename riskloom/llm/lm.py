@@ -354,6 +354,16 @@ def code_lengths(docs: DataFrame, tree: DataFrame, limit: int = BROADCAST_NODES)
 END_TOKEN = int(xxhash.xxh64_intdigest(b"\xff")) >> 1
 
 
+def slices(texts: pa.Array):
+    """(first row, texts) of about ``CHUNK`` bytes; a longer text is one by itself."""
+    ends = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(63-bit hashes of the distinct tokens, which of them stand where, tokens per text).
 
@@ -367,7 +377,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(sizes))
     words = flat.filter(full).dictionary_encode()
     hashes = [xxhash.xxh64_intdigest(w) >> 1 for w in words.dictionary.cast(pa.binary()).to_pylist()]
-    at = np.insert(words.indices.to_numpy().astype(np.int64), np.cumsum(sizes), len(hashes))
+    at = np.insert(words.indices.to_numpy(), np.cumsum(sizes), len(hashes))
     return np.array([*hashes, END_TOKEN], np.int64), at, sizes + 1
 
 
@@ -382,16 +392,19 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def listed(batches):
         for batch in batches:
-            where, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            hashes, word, sizes = words_of(batch.column(2))
-            of, trained = np.repeat(where, sizes), np.repeat(train, sizes)
-            for p in np.unique(where):
-                pick = of == p
-                found, place = np.unique(word[pick], return_inverse=True)
-                times = np.bincount(place, trained[pick], len(found)).astype(np.int64)
+            found = {}
+            for at, texts in slices(batch.column(2)):
+                where, train = (batch.column(i).slice(at, len(texts)).to_numpy(zero_copy_only=False) for i in range(2))
+                hashes, word, sizes = words_of(texts)
+                of, trained = np.repeat(where, sizes), np.repeat(train, sizes)
+                for p in np.unique(where).tolist():
+                    pick = of == p
+                    here, place = np.unique(word[pick], return_inverse=True)
+                    found.setdefault(p, []).append((hashes[here], np.bincount(place, trained[pick], len(here)).astype(np.int64)))
+            for p, lists in found.items():
+                word, times = grouped(*(np.concatenate(x) for x in zip(*lists)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), p, np.int64)), pa.array(hashes[found]), pa.array(times)],
-                    names=["part", "word", "times"])
+                    [pa.array(np.full(len(word), p, np.int64)), pa.array(word), pa.array(times)], names=["part", "word", "times"])
 
     lists = materialize(docs.select("part", "train", "text").mapInArrow(listed, "part long, word long, times long").groupBy(
         "part", "word").agg(F.sum("times").alias("times")), "words")
@@ -406,14 +419,14 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
         order = np.argsort(word)
         word, c = np.append(word[order], -1), np.append(c[order], 0)
         n_tokens, n_known, base = [empty_longs], [empty_longs], [np.empty(0)]
-        for text in texts.column("text").chunks:
+        for _, text in (x for chunk in texts.column("text").chunks for x in slices(chunk)):
             hashes, at, sizes = words_of(text)
             place = np.searchsorted(word[:-1], hashes)
             seen = np.where(word[place] == hashes, c[place], 0)
             starts = np.cumsum(sizes) - sizes
             n_tokens.append(sizes)
-            n_known.append(np.add.reduceat((seen > 0).astype(np.int64)[at], starts) if len(sizes) else empty_longs)
-            base.append(np.add.reduceat((np.log10(seen + 0.1) - floor)[at], starts) if len(sizes) else np.empty(0))
+            n_known.append(np.add.reduceat((seen > 0).astype(np.int64)[at], starts))
+            base.append(np.add.reduceat((np.log10(seen + 0.1) - floor)[at], starts))
         return pa.table({"doc_id": texts.column("doc_id"), "dkey": texts.column("dkey"), "n_tokens": np.concatenate(n_tokens),
                          "n_known": np.concatenate(n_known), "base_score": np.concatenate(base)})
 
