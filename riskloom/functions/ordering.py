@@ -29,8 +29,14 @@ class Key:
     name: str
     descending: bool = False
 
-    def order(self) -> Column:
-        return F.col(self.name).desc() if self.descending else F.col(self.name).asc()
+    def value(self, df: DataFrame) -> Column:
+        """The column to sort by. A number that is none sorts like a null one, however large its group."""
+        col = F.col(self.name)
+        floating = isinstance(df.schema[self.name].dataType, (T.DoubleType, T.FloatType))
+        return F.when(~F.isnan(col), col) if floating else col
+
+    def order(self, df: DataFrame) -> Column:
+        return self.value(df).desc() if self.descending else self.value(df).asc()
 
 
 def sort_numbers(df: DataFrame, key: Key) -> list[Column]:
@@ -40,7 +46,7 @@ def sort_numbers(df: DataFrame, key: Key) -> list[Column]:
     of its first bytes, six at a time.
     """
     dtype = df.schema[key.name].dataType
-    col = F.col(key.name)
+    col = key.value(df)
     if isinstance(dtype, T.StringType):
         data = col.cast("binary")
         heads = [F.rpad(F.hex(F.substring(data, 1 + 6 * i, 6)), 12, "0") for i in range(TEXT_PARTS)]
@@ -87,8 +93,9 @@ def ordered_slots(
             splittable &= F.col(slots[-1]) % 2 == 1
         if level and opens:
             # The next key may order only rows that agree on the one before.
-            before = levels[level - 1][0].name
-            counts.append(F.min(before).eqNullSafe(F.max(before)).alias("_one"))
+            before = levels[level - 1][0].value(df)
+            alike = F.count(before).isin(0, F.count(F.lit(1))) & F.min(before).eqNullSafe(F.max(before))
+            counts.append(alike.alias("_one"))
             splittable &= F.col("_one")
         elif largest is not None and largest <= rows_per_task:
             break
@@ -150,7 +157,7 @@ def take_in_order(
     """
     wanted = rank or "_rank"
     slotted, slots = ordered_slots(df, by, keys, rows_per_task, largest)
-    window = Window.partitionBy(*by, *slots).orderBy(*[k.order() for k in keys])
+    window = Window.partitionBy(*by, *slots).orderBy(*[k.order(df) for k in keys])
     if not slots:
         kept = slotted.withColumn(wanted, F.row_number().over(window).cast("bigint"))
         kept = kept.join(quotas, by).filter(F.col(wanted) <= F.col("quota")).drop("quota")

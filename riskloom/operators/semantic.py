@@ -34,11 +34,18 @@ def vector_dims(df: DataFrame, embedding: str) -> int:
     return row[0]
 
 
+def usable(embedding: str, dims: int):
+    """The vector, or null if it has another length or an element that is null or no number."""
+    fine = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.when((F.size(embedding) == dims) & fine, F.col(embedding))
+
+
 def vector_totals(df: DataFrame, by: list[str], embedding: str, dims: int) -> DataFrame:
-    """Sum of vectors and row count per key, combined before the shuffle."""
-    return df.groupBy(*by).agg(
+    """Sum of usable vectors and row count per key, combined before the shuffle."""
+    totals = df.withColumn(embedding, usable(embedding, dims)).groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"), vector_sum(embedding, dims, "_total")
     )
+    return totals.withColumn("_total", F.transform("_total", lambda v: F.coalesce(v, F.lit(0.0))))
 
 
 def add_vectors(a: str, b: str):
@@ -65,15 +72,18 @@ def semantic_deviation(
     One shuffle on the user and one sort. A user above ``rows_per_task`` is cut into
     time slots; a slot starts from the total of the earlier ones. ``prior`` holds
     ``user, _rows, _total`` of history before ``df``, as the streaming form keeps it.
+    A vector that is null, of another length, or holds a null or NaN gets null and adds
+    nothing to the history.
     """
     dims = dims or vector_dims(df, embedding)
+    df, embedding = df.withColumn("_usable", usable(embedding, dims)), "_usable"
     keys = [Key(c) for c in order]
     slotted, slots = ordered_slots(df, [user], keys, rows_per_task)
     starts = _slot_starts(slotted, user, slots, embedding, dims) if slots else None
     if prior is not None:
         base = prior.select(user, "_rows", "_total")
         starts = _after_prior(starts, base, user, slots) if slots else base
-    columns = list(keep or df.columns)
+    columns = list(keep or [c for c in df.columns if c != embedding])
     if starts is not None:
         slotted = slotted.join(starts, [user, *slots], "left")
     else:
@@ -113,7 +123,7 @@ def _by_window(
     df: DataFrame, by: list[str], keys: list[Key], embedding: str, dims: int, columns: list[str]
 ) -> DataFrame:
     before = (
-        Window.partitionBy(*by).orderBy(*[k.order() for k in keys])
+        Window.partitionBy(*by).orderBy(*[k.order(df) for k in keys])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     parts = {f"_e{i}": F.col(embedding)[i].cast("double") for i in range(dims)}
@@ -149,11 +159,13 @@ def _by_sorted_pass(
 
     The window that marks the first row of a group also gives the shuffle and the sort.
     """
-    group = Window.partitionBy(*by).orderBy(*[k.order() for k in keys])
+    group = Window.partitionBy(*by).orderBy(*[k.order(df) for k in keys])
     first = F.row_number().over(group) == 1
     started = "_total" in df.columns
     arranged = df.withColumn("_first", first)
-    inputs = [*columns, F.col(embedding).alias("_vector"), "_first"]
+    # a row without a usable vector adds nothing, and its norm of zero gives null
+    vector = F.coalesce(F.col(embedding).cast("array<double>"), F.array_repeat(F.lit(0.0), dims))
+    inputs = [*columns, vector.alias("_vector"), "_first"]
     if started:
         # Only a first row brings its start, and an absent one is an empty list: a
         # column of null lists made the whole pass three times slower.

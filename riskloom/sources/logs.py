@@ -55,7 +55,8 @@ def read_log(
         return read_zipped_log(spark, path, columns=columns, strict=strict)
     if strict:
         check_columns(_header(spark, path), columns)
-    reader = spark.read.schema(text_schema(columns)).options(**QUOTED_CSV)
+    # the header of every file is held against the names, not only the first
+    reader = spark.read.schema(text_schema(columns)).options(**QUOTED_CSV).option("enforceSchema", str(not strict).lower())
     return reader.option("multiLine", str(multiline).lower()).csv(path).na.fill("")
 
 

@@ -12,11 +12,13 @@ from riskloom.sources.paths import exists
 def read_snapshots(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
     """All snapshots as one table, each row tagged with its month.
 
-    A month is one file ``2010-01.csv``, or a folder of that name with part files.
+    A month is one file ``2010-01.csv``, or a folder of that name with part files. A
+    file whose header has other names, or the names in another order, is refused.
     """
     if not exists(spark, glob):
         raise FileNotFoundError(f"no snapshot file at {glob}")
-    raw = spark.read.schema(text_schema(columns)).options(**QUOTED_CSV).csv(glob)
+    reader = spark.read.schema(text_schema(columns)).options(**QUOTED_CSV).option("enforceSchema", "false")
+    raw = reader.csv(glob)
     month = F.regexp_replace(csv_name(), r"\.csv$", "")
     return raw.withColumn("snapshot_month", month).na.fill("")
 

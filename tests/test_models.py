@@ -62,6 +62,19 @@ def test_deviation_forms_agree(spark, max_window_dims, rows_per_task):
     same({r["seq"]: r["semantic_deviation"] for r in got.collect()}, brute_deviation(rows))
 
 
+@pytest.mark.parametrize("max_window_dims", [0, 16])
+@pytest.mark.parametrize("rows_per_task", [10, 10**6])
+def test_vectors_that_cannot_be_used(spark, max_window_dims, rows_per_task):
+    odd = [None, [1.0] * 4, [None] + [1.0] * 4, [float("nan")] * 5]
+    rows = [(s, t, u, odd[s // 7 % 4] if s % 7 == 0 else v) for s, t, u, v in events()]
+    rows += [(1000 + i, i, "never", odd[i % 4]) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = semantic_deviation(df, dims=5, rows_per_task=rows_per_task, max_window_dims=max_window_dims)
+    want = brute_deviation([(s, t, u, [0.0] * 5 if v in odd else v) for s, t, u, v in rows])
+    assert got.columns == [*df.columns, "semantic_deviation"]
+    same({r["seq"]: r["semantic_deviation"] for r in got.collect()}, want)
+
+
 def test_deviation_is_causal(spark):
     rows = events()
     changed = [(s, t, u, [9.0] * 5 if s > 60 else v) for s, t, u, v in rows]

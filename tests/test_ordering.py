@@ -79,6 +79,16 @@ def test_log_order(spark):
         assert sorted(r["id"] for r in got if r["g"] == group) == ids
 
 
+@pytest.mark.parametrize("rows_per_task", [20, 10**6])
+def test_scores_that_are_no_numbers_come_last(spark, rows_per_task):
+    rows = [(i, float("nan") if i % 80 == 0 else None if i % 80 == 1 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, score double").repartition(4)
+    got = top_by_budget(df, "score", [0.01], rows_per_task=rows_per_task)
+    assert sorted(r["id"] for r in got.collect()) == [396, 397, 398, 399]
+    all_but_few = top_by_budget(df, "score", [0.9875], rows_per_task=rows_per_task)
+    assert {r["id"] for r in all_but_few.collect()} == set(range(400)) - {160 + 1, 240, 240 + 1, 320, 320 + 1}
+
+
 def test_budget_limits():
     for bad in ([], [0.0], [1.2], [-0.1]):
         with pytest.raises(ValueError):

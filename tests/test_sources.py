@@ -90,6 +90,9 @@ def test_snapshots(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("1", "x", "2010-01"), ("1", "y", "2010-02"), ("2", "", "2010-01")]
     with pytest.raises(FileNotFoundError):
         read_snapshots(spark, str(tmp_path / "none*.csv"), ["user_id", "role"])
+    write_csv(tmp_path / "2010-03.csv", ["role", "user_id"], [("z", "9")])
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_snapshots(spark, str(tmp_path / "*.csv"), ["user_id", "role"]).collect()
 
 
 def test_incidents(spark, tmp_path):
