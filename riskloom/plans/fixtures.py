@@ -17,8 +17,7 @@ TRAIN_END = "2024-01-15"
 FIRST_TEST_DAY = "2024-01-16"
 BUDGETS = [0.001, 0.005, 0.01, 0.05, 0.10]
 DIMS = 64
-EMBED_USED = 6
-EMBED_CONTEXT = [f"embed_pc_{i}" for i in range(EMBED_USED)]
+EMBED_CONTEXT = [f"embed_{i}" for i in range(DIMS)]
 CONTEXT = [*C.BASE_CONTEXT, *EMBED_CONTEXT]
 LABEL_TYPE = "error"
 

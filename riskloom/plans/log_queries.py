@@ -25,9 +25,7 @@ LOG = ["doc_id", "text"]
 
 def _log_file(spark: SparkSession, sf: str) -> str:
     path = fresh_path(spark, "log")
-    fx.table(spark, sf, "documents").select(*LOG).write.options(
-        header="true", quote='"', escape='"', quoteAll="true"
-    ).csv(path)
+    fx.table(spark, sf, "documents").select(*LOG).write.options(header="true", quote='"', escape='"').csv(path)
     return path
 
 

@@ -46,90 +46,133 @@ def read_log(
 
     ``path`` may be a list of places; the first that exists is read, and a place
     that ends in ``.zip`` is read through the archive source. ``multiline`` allows
-    line breaks inside quotes, and Spark then reads each file in one task: use
-    ``read_split_log`` for one very large file of that kind.
+    line breaks inside quotes and reads each file in many tasks (``read_split_log``);
+    without it a line is a record.
     """
     columns = columns or C.LOG_COLUMNS
     path = first_existing(spark, [path] if isinstance(path, str) else path)
     if path.endswith(".zip"):
         return read_zipped_log(spark, path, columns=columns, strict=strict)
+    if multiline:
+        return read_split_log(spark, path, columns, strict)
     if strict:
         check_columns(_header(spark, path), columns)
     # the header of every file is held against the names, not only the first
     reader = spark.read.schema(text_schema(columns)).options(**QUOTED_CSV).option("enforceSchema", str(not strict).lower())
-    return reader.option("multiLine", str(multiline).lower()).csv(path).na.fill("")
+    return reader.csv(path).na.fill("")
+
+
+def _opens(text):
+    """Whether a line that begins a field ends inside quotes.
+
+    A quote opens a field only at its first character; ``""`` inside quotes is one
+    quote; after the closing one a field runs to the next comma. Pairs are taken out
+    first, which changes no field's state, then every field that ends at a comma.
+    """
+    single = F.replace(text, F.lit('""'), F.lit(""))
+    last = F.regexp_replace(single, r'\G(?:"[^"]*+"[^,]*+|[^",][^,]*+)?+,', "")
+    return F.contains(single, F.lit('"')) & last.rlike(r'^"[^"]*+$')
 
 
 def read_split_log(
     spark: SparkSession, path: str, columns: list[str] | None = None, strict: bool = True
 ) -> DataFrame:
-    """Scan one huge quoted CSV log with line breaks in quotes, many tasks per file.
+    """Scan a quoted CSV log with line breaks in quotes, many tasks per file.
 
     Spark cannot split such a file, as a cut may fall inside quotes. Here the file
-    is read as plain lines, which does split. A line starts a record when the quotes
-    before it are even in number; the quotes of a split are a single sum, so the
-    parity at its start comes from a small prefix table. Lines of one record are
-    then joined and parsed. A record that runs over a split end is put back whole.
+    is read as plain lines, which does split. What a line does to the quotes is worked
+    out for both states it may begin in, so a split knows its own effect without its
+    neighbours; a table of one row per split then tells each the state it begins in.
+    The text is shuffled once, by split, where the lines of a record are joined. Only
+    the lines in front of a split's first record move again, to the record they end.
+
+    A quote inside an unquoted field is plain text. Empty lines are skipped. With
+    ``strict`` a header that differs is an error, in any file. A file that ends inside
+    quotes is always one.
     """
     columns = columns or C.LOG_COLUMNS
     if strict:
         check_columns(_header(spark, path), columns)
-    lines = (
-        spark.read.option("lineSep", "\n").text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-            F.regexp_count("value", F.lit('"')).alias("quotes"),
-        )
+    split = ["file", "block"]
+    in_split = Window.partitionBy(*split).orderBy("at")
+    until = in_split.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    closed, opened = _opens(F.col("value")), _opens(F.concat(F.lit('"'), "value"))
+    # A line sets the state (one end from both beginnings), turns it or leaves it.
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.when(closed == opened, closed.cast("int")).alias("sets"),
+        (closed & ~opened).cast("int").alias("turns"),
     )
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("block_quotes"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "file", "block", F.coalesce(F.sum("block_quotes").over(earlier), F.lit(0)).alias("quotes_before")
+    turned = lines.withColumn("turned", F.sum("turns").over(until)).withColumn(
+        "base", (F.col("sets") + F.col("turned")) % 2  # the first state that would end here as it was set
     )
-    # One row per split of the input; a petabyte in 128 MB splits is eight million rows.
-    in_block = Window.partitionBy("file", "block").orderBy("at")
-    numbered = (
-        lines.join(blocks, ["file", "block"])
-        .withColumn(
-            "open",
-            (F.col("quotes_before") + F.coalesce(
-                F.sum("quotes").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            )) % 2 == 1,
+    effect = turned.groupBy(*split).agg(
+        F.max_by("base", F.when(F.col("base").isNotNull(), F.col("at"))).alias("base"),
+        F.sum("turns").alias("turned"), F.max("at").alias("last"),
+    )
+    # The same rule once more, with a split in the place of a line: one row per split, so
+    # that a file of a petabyte in 128 MB splits has eight million.
+    in_file = Window.partitionBy("file").orderBy("block")
+    splits_until = in_file.rowsBetween(Window.unboundedPreceding, 0)
+    splits = (
+        effect.withColumn("sets", (F.col("base") + F.col("turned")) % 2)
+        .withColumn("all_turned", F.sum("turned").over(splits_until))
+        .withColumn("all_base", F.last((F.col("sets") + F.col("all_turned")) % 2, ignorenulls=True).over(splits_until))
+        .withColumn("ends", (F.coalesce("all_base", F.lit(0)) + F.col("all_turned")) % 2)
+        .select(
+            *split,
+            F.when(F.lead("block").over(in_file).isNull() & (F.col("ends") == 1),
+                   F.raise_error(F.concat(F.lit("the log ends inside quotes: "), "file")).cast("int"))
+            .otherwise(F.coalesce(F.lag("ends").over(in_file), F.lit(0))).alias("begins"),
         )
-        .withColumn("starts", (~F.col("open")).cast("int"))
-        .withColumn("record", F.sum("starts").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # Lines before the first start of a block belong to the last record of an earlier block.
-    last = (
-        numbered.groupBy("file", "block").agg(F.max("record").alias("records"))
-        .withColumn("owner", F.when(F.col("records") > 0, F.struct("block", "records")))
-        .withColumn("owner", F.last("owner", ignorenulls=True).over(earlier))
-        .select("file", "block", "owner")
+    state = F.coalesce(F.last("base", ignorenulls=True).over(earlier), F.col("begins"))
+    turns_before = F.coalesce(F.sum("turns").over(earlier), F.lit(0))
+    records = (
+        turned.join(splits, split)
+        .withColumn("starts", 1 - (state + turns_before) % 2)
+        .withColumn("record", F.sum("starts").over(until))
+        .groupBy(*split, "record")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+        .select(*split, "record", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("line"))
     )
-    owned = numbered.join(last, ["file", "block"]).select(
-        "file", "at", "value", "block",
-        F.when(F.col("record") > 0, F.struct(F.col("block").alias("block"), F.col("record").alias("records")))
-        .otherwise(F.col("owner")).alias("key"),
+    return _parse_records(records, columns, strict)
+
+
+def _parse_records(records: DataFrame, columns: list[str], strict: bool) -> DataFrame:
+    """Records of ``read_split_log`` put back whole, and parsed. Record 0 of a split ends an earlier one's last."""
+    in_file = Window.partitionBy("file").orderBy("block")
+    owners = (
+        records.groupBy("file", "block").agg(F.max("record").alias("last"), F.min("record").alias("first"))
+        .withColumn("own", F.when(F.col("last") > 0, F.struct("block", "last")))
+        .withColumn("owner", F.last("own", ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter("first = 0")
+        .select("file", "block", F.col("owner.block").alias("to_block"), F.col("owner.last").alias("to_record"))
     )
-    records = owned.groupBy("file", "key").agg(
-        F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts")
+    ends = (
+        records.filter("record = 0").join(owners, ["file", "block"])
+        .groupBy("file", F.col("to_block").alias("block"), F.col("to_record").alias("record"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "line"))).alias("parts"))
+        .select("file", "block", "record", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("end"))
     )
-    text = records.select(
-        "file", "key", F.rtrim(
-            F.array_join(F.transform("parts", lambda p: p["value"]), "\n"), F.lit("\r")
-        ).alias("line"),
+    whole = records.filter("record > 0").join(ends, ["file", "block", "record"], "left").select(
+        ((F.col("block") == 0) & (F.col("record") == 1)).alias("header"),
+        F.rtrim(F.concat_ws("\n", "line", "end"), F.lit("\r")).alias("line"),
     )
     ddl = ", ".join(f"`{c}` string" for c in columns)
     options = {"quote": '"', "escape": '"', "multiLine": "true"}
-    header = (F.col("key.block") == 0) & (F.col("key.records") == 1)
-    return (
-        text.filter(~header & (F.col("line") != ""))
-        .select(F.from_csv("line", F.lit(ddl), options).alias("r"))
-        .select("r.*").na.fill("")
-    )
+    parsed = whole.filter(F.col("line") != "").select("header", F.from_csv("line", F.lit(ddl), options).alias("r"))
+    named = F.array(*[F.col("r")[c] for c in columns]) == F.array(*[F.lit(c) for c in columns])
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("log columns do not match: "), F.to_json("r"))).cast("boolean")
+        named = F.when(F.coalesce(named, F.lit(False)), F.lit(True)).otherwise(wrong)
+    else:
+        named = F.lit(True)
+    return parsed.filter(F.when(F.col("header"), ~named).otherwise(F.lit(True))).select("r.*").na.fill("")
 
 
 def read_zipped_log(

@@ -58,6 +58,50 @@ def test_split_log_at_any_cut(spark, tmp_path, block, newline):
     assert got == sorted(log_rows())
 
 
+#: What csv.reader takes each record for; quotes inside an unquoted field are plain.
+TRICKY = [
+    ('1,u,a"b', ("1", "u", 'a"b')),
+    ('2,u,"a\nb ""c""\n,d"', ("2", "u", 'a\nb "c"\n,d')),
+    ('3,u,"""\n"""', ("3", "u", '"\n"')),
+    ('4,u,""', ("4", "u", "")),
+    ('5,"u""",x"', ("5", 'u"', 'x"')),
+    ('6,,"\n\n"', ("6", "", "\n\n")),
+    ('7,it""s,6" x 4"', ("7", 'it""s', '6" x 4"')),
+]
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [16, 64, 10**7])
+def test_quotes_open_a_field_only_at_its_start(spark, tmp_path, block, newline):
+    records = [(t.replace("\n", newline), tuple(v.replace("\n", newline) for v in r)) for t, r in TRICKY] * 6
+    path = tmp_path / "log.csv"
+    path.write_text(newline.join([",".join(COLUMNS), *[t for t, _ in records]]) + newline, newline="")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], block)
+    spark.conf.set(keys[1], 1)
+    try:
+        got = content(read_log(spark, str(path), COLUMNS))
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert got == sorted(r for _, r in records)
+
+
+def test_a_log_that_ends_inside_quotes_is_refused(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text('id,user,content\n1,u,"open\n2,u,x\n')
+    with pytest.raises(Exception, match="ends inside quotes"):
+        read_log(spark, str(path), COLUMNS).collect()
+
+
+def test_every_header_of_a_folder_is_checked(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", COLUMNS, [("1", "u", "x")])
+    write_csv(tmp_path / "b.csv", ["user", "id", "content"], [("u", "2", "x")])
+    with pytest.raises(Exception, match="do not match"):
+        read_log(spark, str(tmp_path), COLUMNS).collect()
+
+
 def test_columns_must_match_in_order(spark, tmp_path):
     path = write_csv(tmp_path / "log.csv", ["user", "id", "content"], [("u", "1", "x")])
     with pytest.raises(ValueError, match="do not match"):
