@@ -53,7 +53,10 @@ def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
     code = np.zeros(len(raw) - DEPTH, np.uint64)
     for i in range(DEPTH + 1):
-        code |= raw[DEPTH - i:len(raw) - i].astype(np.uint64) << np.uint64(8 * i)
+        byte = raw[DEPTH - i:len(raw) - i].astype(np.uint64)
+        byte <<= np.uint64(8 * i)
+        code |= byte
+    del byte
     sizes = np.array([len(t) + 1 for t in texts])
     # what straddles two texts goes: the first DEPTH places of every later text
     keep = np.ones(len(code), bool)
@@ -84,7 +87,9 @@ class Remembered:
         self.value = np.zeros(PLACES, kind)
 
     def places(self, code: np.ndarray) -> np.ndarray:
-        return (mixed(code) >> np.uint64(64 - (PLACES.bit_length() - 1))).astype(np.int64)
+        at = mixed(code)
+        at >>= np.uint64(64 - (PLACES.bit_length() - 1))
+        return at.view(np.int64)
 
     def claim(self, code: np.ndarray) -> None:
         """Give free places to new codes."""
@@ -106,8 +111,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 own = table.code[at] == code
                 table.value += np.bincount(at[own], minlength=PLACES)
                 rest, times = np.unique(code[~own], return_counts=True)
+                # else they stay while the next chunk is spelt
+                del code, at, own
                 if len(rest):
                     yield pa.RecordBatch.from_arrays([pa.array(rest.view(np.int64)), pa.array(times)], names=["gram", "times"])
+                del rest, times
         used = np.flatnonzero(table.value)
         for i in range(0, len(used), 100_000):
             part = used[i:i + 100_000]
@@ -301,6 +309,9 @@ def code_lengths(docs: DataFrame, tree: DataFrame, limit: int = BROADCAST_NODES)
                         value[miss] = model.log_probability(rest)[where]
                     sums.append(np.add.reduceat(value, np.cumsum(size) - size))
                     sizes.append(size - 1)
+                    # else they stay while the next chunk is spelt
+                    rest = where = place = own = None
+                    del code, at, new, value, miss
                 none = np.empty(0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(np.concatenate([*sizes, none]).astype(np.int64)),
@@ -352,6 +363,8 @@ def code_lengths(docs: DataFrame, tree: DataFrame, limit: int = BROADCAST_NODES)
 
 
 END_TOKEN = int(xxhash.xxh64_intdigest(b"\xff")) >> 1
+#: Stands in a word list beside the number of all tokens of its part; hashes are not negative.
+TOKENS = -1
 
 
 def slices(texts: pa.Array):
@@ -387,7 +400,9 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     ``docs`` has (doc_id, dkey, text, train, part), where ``part`` names a stretch of the
     input of bounded size, the same whenever it is read. Each part lists its distinct
     words once; counts come back to the parts, and each part scores its documents with
-    its own list. So texts move once, and a frequent word is one row per part.
+    its own list. So texts move once, and a frequent word is one row per part. A list also
+    holds its part's number of tokens, and a part that has another number when it is
+    scored is an error.
     """
 
     def listed(batches):
@@ -400,7 +415,8 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
                 for p in np.unique(where).tolist():
                     pick = of == p
                     here, place = np.unique(word[pick], return_inverse=True)
-                    found.setdefault(p, []).append((hashes[here], np.bincount(place, trained[pick], len(here)).astype(np.int64)))
+                    times = np.bincount(place, trained[pick], len(here)).astype(np.int64)
+                    found.setdefault(p, []).append((np.append(hashes[here], TOKENS), np.append(times, pick.sum())))
             for p, lists in found.items():
                 word, times = grouped(*(np.concatenate(x) for x in zip(*lists)))
                 yield pa.RecordBatch.from_arrays(
@@ -409,13 +425,16 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
     lists = materialize(docs.select("part", "train", "text").mapInArrow(listed, "part long, word long, times long").groupBy(
         "part", "word").agg(F.sum("times").alias("times")), "words")
     counts = lists.groupBy("word").agg(F.sum("times").alias("c"))
-    n, v = materialize(counts.filter("c > 0"), "counts").agg(F.sum("c"), F.count(F.lit(1))).first()
+    n, v = materialize(counts.filter(f"c > 0 and word <> {TOKENS}"), "counts").agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = n or 0, v or 0
-    known = lists.select("part", "word").join(counts, "word").filter("c > 0").select("part", "word", "c")
+    known = lists.join(counts, "word").filter("c > 0").select(
+        "part", "word", F.when(F.col("word") == TOKENS, F.col("times")).otherwise(F.col("c")).alias("c"))
     floor, empty_longs = np.log10(n + 0.1 * (v + 1)), np.empty(0, np.int64)
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
         word, c = words.column("word").to_numpy(), words.column("c").to_numpy()
+        listed_tokens = c[word == TOKENS].sum()
+        word, c = word[word != TOKENS], c[word != TOKENS]
         order = np.argsort(word)
         word, c = np.append(word[order], -1), np.append(c[order], 0)
         n_tokens, n_known, base = [empty_longs], [empty_longs], [np.empty(0)]
@@ -427,6 +446,8 @@ def word_base(docs: DataFrame) -> tuple[DataFrame, int]:
             n_tokens.append(sizes)
             n_known.append(np.add.reduceat((seen > 0).astype(np.int64)[at], starts))
             base.append(np.add.reduceat((np.log10(seen + 0.1) - floor)[at], starts))
+        if (tokens := sum(int(x.sum()) for x in n_tokens)) != listed_tokens:
+            raise ValueError(f"a part with {tokens} tokens has a word list of {listed_tokens}")
         return pa.table({"doc_id": texts.column("doc_id"), "dkey": texts.column("dkey"), "n_tokens": np.concatenate(n_tokens),
                          "n_known": np.concatenate(n_known), "base_score": np.concatenate(base)})
 
@@ -452,13 +473,28 @@ def language_model_scores(docs: DataFrame, training: DataFrame, id_col: str = "d
 
 #: Bytes of a file that one part of the word lists covers, about.
 PART_BYTES = 16 << 20
+#: Texts so many times as long as the mean go to parts of their own.
+LONGER = 16
 
 
-def file_parts(spark: SparkSession) -> Column:
-    """Names the part of a row read from files: its file and split, the latter once more by a hash if it is large."""
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start",
-                      F.pmod(F.xxhash64("text"), F.lit(max(1, -(-split // PART_BYTES)))))
+def row_parts(source: DataFrame) -> Column:
+    """Names the part of a row read from Parquet: its file, its place in the file, and how much longer than the mean its text is.
+
+    Splits follow the cores at hand and may be cut elsewhere when a file is read again; a
+    row's place in its file stays. Texts of ``LONGER`` times the mean, of that times the
+    mean and so on step through fewer rows, so no part has more than ``LONGER`` times
+    what one has on average, unless a single text has.
+    """
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    n, total = source.agg(F.count(F.lit(1)), F.sum(size)).first()
+    stored = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    mean, rows = max(1, -(-(total or 0) // max(1, n))), max(1, n * PART_BYTES // max(1, stored))
+    level, step, k = F.lit(0), F.lit(rows), 1
+    while mean * LONGER ** k < 1 << 31:
+        longer = size >= mean * LONGER ** k
+        level, step = F.when(longer, k).otherwise(level), F.when(longer, max(1, rows // LONGER ** k)).otherwise(step)
+        k += 1
+    return F.xxhash64("_metadata.file_path", level, F.floor(F.col("_metadata.row_index") / step))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,7 +503,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
     scores = language_model_scores(docs, docs.filter(remainder("doc_id", 10) != 0))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = source.select("doc_id", F.xxhash64(text).alias("dkey"), text.alias("text"), file_parts(spark).alias("part"),
+    keyed = source.select("doc_id", F.xxhash64(text).alias("dkey"), text.alias("text"), row_parts(source).alias("part"),
                           F.coalesce(remainder("doc_id", 10) != 0, F.lit(False)).alias("train"))
     base, n = word_base(keyed)
     once = scores.dropDuplicates(["doc_id", "dkey"]).select(

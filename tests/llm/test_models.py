@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,34 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
     kept = corpus_pipeline.known_language(spark, docs, "/root/testdata/sf0.001")
     assert kept.count() == docs.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_word_lists_outlive_other_splits(spark, odd_rows, tmp_path, monkeypatch):
+    rows = [(i, f"{t or ''} own{i % 7} w{i}") for i, (_, t) in enumerate(odd_rows * 3)]
+    path, kept = str(tmp_path / "docs"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    pq.write_table(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), f"{tmp_path}/docs", row_group_size=5)
+    monkeypatch.setattr(lm, "PART_BYTES", 1000)
+    source = spark.read.parquet(path)
+    keyed = source.select("doc_id", F.xxhash64("text").alias("dkey"), "text", lm.row_parts(source).alias("part"), F.lit(True).alias("train"))
+    moved = keyed.withColumn("part", F.col("_metadata.file_block_start"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        before = {r["doc_id"]: r["part"] for r in keyed.collect()}
+        base, n = lm.word_base(keyed)
+        broken, _ = lm.word_base(moved)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2600")
+        after = {r["doc_id"]: r["part"] for r in keyed.collect()}
+        got = base.collect()
+        with pytest.raises(Exception, match="word list"):
+            broken.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert before == after and len(set(before.values())) > 3
+    words = {i: [*t.encode().lower().split(), None] for i, t in rows}
+    c = Counter(w for x in words.values() for w in x)
+    bottom = n + 0.1 * (len(c) + 1)
+    assert n == sum(c.values()) and len(got) == len(rows)
+    for r in got:
+        mine = words[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (len(mine), len(mine))
+        assert np.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / bottom) for w in mine))
