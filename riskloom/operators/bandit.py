@@ -232,11 +232,12 @@ def apply_update(state: State, sums: DataFrame, day: dt.date) -> State:
 # --- replay -----------------------------------------------------------------
 @dataclass(frozen=True)
 class Replay:
-    """``queue`` holds the reviewed rows, ``daily`` one row per policy and day."""
+    """``queue`` holds the reviewed rows, ``daily`` one row per policy and day, ``scores`` all rows if asked for."""
 
     queue: DataFrame
     daily: DataFrame
     state: State
+    scores: DataFrame | None = None
 
 
 QUEUE_KEEP = ["id", "seq", "user", "is_malicious"]
@@ -258,13 +259,15 @@ def bandit_replay(
     state: State | None = None,
     path: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    keep_scores: bool = False,
 ) -> Replay:
     """Replay the days of ``contexts`` in order.
 
     ``contexts`` has ``id, seq, user, is_malicious, day, x`` and should be a table
     partitioned by ``day``: every step reads one partition. The reviewed rows of a day
     are written to ``path`` before the next day starts, so the plan never grows, and a
-    replay that is started again over the same days writes the same rows.
+    replay that is started again over the same days writes the same rows. With
+    ``keep_scores`` every row's score is written too, by the model its day began with.
     """
     check_budgets([budget])
     policies = policies or [Policy()]
@@ -277,8 +280,12 @@ def bandit_replay(
     state = state or State({p.name: Model.fresh(dims, ridge) for p in policies})
     path = path or fresh_path(spark, "review-queue")
     schema = None
+    kept = fresh_path(spark, "scores") if keep_scores else None
     for day, n_rows in volume:
         slots = max(1, int(np.ceil(n_rows * float(budget))))
+        if kept:
+            rows = bandit_scores(contexts.filter(F.col("day") == F.lit(day)), policies, state, QUEUE_KEEP).drop("x")
+            rows.write.parquet(f"{kept}/day={day.isoformat()}")
         queue = replay_day(contexts, day, n_rows, slots, policies, state, path, tie, rows_per_task)
         schema = schema or queue.schema
         state = apply_update(state, update_sums(queue, dims), day)
@@ -287,7 +294,8 @@ def bandit_replay(
     # Only the days of this replay: the folder may hold others.
     days = [r[0] for r in volume]
     queue = spark.read.schema(extended(schema, "day date")).parquet(path).filter(F.col("day").between(days[0], days[-1]))
-    return Replay(queue, replay_daily(queue, contexts, policies), state)
+    scores = spark.read.schema(extended(rows.schema, "day date")).parquet(kept) if kept else None
+    return Replay(queue, replay_daily(queue, contexts, policies), state, scores)
 
 
 def replay_day(
@@ -324,14 +332,15 @@ def replay_daily(queue: DataFrame, contexts: DataFrame, policies: list[Policy])
 
 
 def sensitivity_table(
-    replay: Replay, policies: list[Policy], summary: DataFrame, hits: DataFrame, scenarios: list[int]
+    replay: Replay, policies: list[Policy], summary: DataFrame, hits: DataFrame, labels: DataFrame
 ) -> DataFrame:
-    """One row per policy: settings, run summary and hits per scenario."""
-    table = policy_table(replay.queue.sparkSession, policies)
-    wide = hits.groupBy("policy").pivot("scenario", scenarios).agg(F.sum("true_positives"))
-    named = wide.select(
-        "policy",
-        *[F.coalesce(F.col(str(s)), F.lit(0)).alias(f"scenario_{s}_true_positives") for s in scenarios],
-    )
-    joined = table.join(summary, "policy").join(named, "policy", "left")
-    return joined.na.fill(0, [f"scenario_{s}_true_positives" for s in scenarios])
+    """One row per policy and scenario of the labels or hits: settings, run summary and hits in the scenario.
+
+    Without any scenario a policy keeps one row.
+    """
+    table = policy_table(replay.queue.sparkSession, policies).join(summary, "policy")
+    scenarios = labels.select(F.col("scenario").cast("int").alias("scenario")).unionByName(hits.select("scenario")).distinct()
+    found = hits.select("policy", "scenario", F.col("true_positives").alias("scenario_true_positives"))
+    # a few scenarios
+    rows = table.join(F.broadcast(scenarios), F.lit(True), "left").join(found, ["policy", "scenario"], "left")
+    return rows.na.fill(0, ["scenario_true_positives"])

@@ -112,19 +112,16 @@ def policy_grid(spark, sf):
     policies = bandit.policy_grid()
     replay = bandit.bandit_replay(_written_contexts(spark, sf), policies, REPLAY_BUDGET)
     summary = capacity.run_summary(replay.daily, ("policy",))
-    hits = lab.scenario_hits(lab.attach_scenario(replay.queue, fx.label_rows(spark, sf)), "policy")
-    table = bandit.sensitivity_table(replay, policies, summary, hits, [2, 3, 4])
+    labels = fx.label_rows(spark, sf)
+    hits = lab.scenario_hits(lab.attach_scenario(replay.queue, labels), "policy")
+    table = bandit.sensitivity_table(replay, policies, summary, hits, labels)
     return fx.rounded(table, "precision", "recall", "false_positive_rate")
 
 
 def bandit_scores(spark, sf):
-    """Scores of the second test day, with a model that has learnt from the first."""
-    rows = _written_contexts(spark, sf)
-    first = rows.filter(F.col("day") == F.lit(FIRST_DAY))
-    learnt = bandit.bandit_replay(first, budget=REPLAY_BUDGET).state
-    second = rows.filter(F.col("day") == F.lit(FIRST_DAY + dt.timedelta(days=1)))
-    scored = bandit.bandit_scores(second, [bandit.Policy()], learnt, bandit.QUEUE_KEEP)
-    return scored.select("id", "policy", F.round("ucb_score", 6).alias("ucb_score"))
+    """Scores of all test rows, each by the model that has learnt from the days before."""
+    replay = bandit.bandit_replay(_written_contexts(spark, sf), budget=REPLAY_BUDGET, keep_scores=True)
+    return replay.scores.select("id", "policy", F.round("ucb_score", 6).alias("ucb_score"))
 
 
 # --- an untrained policy over all days, which SQL can follow ----------------
