@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskloom.llm import (
     decontaminate,
     embedding_join,
+    fill_middle,
     jaccard_join,
     langid,
     lm,
@@ -18,4 +19,5 @@ from riskloom.llm import (
 ALL = {
     **packing.QUERIES, **substring.QUERIES, **embedding_join.QUERIES, **langid.QUERIES, **quality.QUERIES,
     **jaccard_join.QUERIES, **lm.QUERIES, **sharding.QUERIES, **suffix_array.QUERIES, **decontaminate.QUERIES,
+    **fill_middle.QUERIES,
 }
