@@ -14,10 +14,11 @@ from riskloom.llm import (
     sharding,
     substring,
     suffix_array,
+    warc,
 )
 
 ALL = {
     **packing.QUERIES, **substring.QUERIES, **embedding_join.QUERIES, **langid.QUERIES, **quality.QUERIES,
     **jaccard_join.QUERIES, **lm.QUERIES, **sharding.QUERIES, **suffix_array.QUERIES, **decontaminate.QUERIES,
-    **fill_middle.QUERIES,
+    **fill_middle.QUERIES, **warc.QUERIES,
 }
