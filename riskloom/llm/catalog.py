@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskloom.llm import (
+    conversations,
     decontaminate,
     embedding_join,
     fill_middle,
@@ -21,4 +22,5 @@ ALL = {
     **packing.QUERIES, **substring.QUERIES, **embedding_join.QUERIES, **langid.QUERIES, **quality.QUERIES,
     **jaccard_join.QUERIES, **lm.QUERIES, **sharding.QUERIES, **suffix_array.QUERIES, **decontaminate.QUERIES,
     **fill_middle.QUERIES, **warc.QUERIES,
+    **conversations.QUERIES,
 }
