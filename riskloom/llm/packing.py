@@ -34,15 +34,16 @@ def piece_table(docs: DataFrame, id_col: str, text_col: str, size: int, vocabula
         path = vocabulary or vocabulary_path()
         tokens = kept(f"tokens {path}", lambda: WordTokens(path))
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = tokens.ids(text.as_py() or "") + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[at:at + 4 * size]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            raws = [ids + b"\0\0\0\0" for ids in tokens.many(batch.column(1).fill_null("").to_pylist())]
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+            counts = -(-sizes // size)
+            rows = np.repeat(np.arange(len(raws)), counts)
+            piece = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = piece * size
+            length = np.minimum(sizes[rows] - start, size)
+            crc = [zlib.crc32(memoryview(raws[r])[4 * s:4 * (s + n)]) for r, s, n in zip(rows.tolist(), start.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)

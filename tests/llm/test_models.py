@@ -12,19 +12,22 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import decontaminate, langid, lm, packing, quality, sharding
+from riskloom.llm import decontaminate, langid, lm, packing, quality, sharding, text_tokens
 from riskloom.llm.text_tokens import WordTokens
 from riskloom.llm.windows import WordHashes  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_tokens_equal_the_tokenizers():
+@pytest.mark.parametrize("run", [4 << 20, 7])
+def test_tokens_equal_the_tokenizers(monkeypatch, run):
+    monkeypatch.setattr(text_tokens, "RUN", run)
     tool = WordTokens(packing.vocabulary_path(), keep=50)
     texts = ["", " ", "Hello, World!! it's 12a3", "É Ünder ªµº ß", "a\x1cb", "日本 text x y", "don't<|endoftext|>x",
-             "x" * 300, "tab\tnew\nline", "İstanbul Σας", "$$$ *** a|b|c 99%"] + [f"word{i} Weird'{i}s" for i in range(80)]
+             "x" * 300, "tab\tnew\nline", "a\x0bb\x85c\xa0d 'e f' 'g' don't.x", "İstanbul Σας", "$$$ *** a|b|c 99%"] + [f"word{i} Weird'{i}s" for i in range(80)]
     for text in texts + [" ".join(texts)]:
         assert tool.ids(text) == np.array(tool.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert tool.many(texts) == [tool.plain(t) for t in texts] and tool.many([]) == []
 
 
 def test_packing_is_whole_and_gapless(odd_docs, odd_rows, no_docs):
