@@ -10,22 +10,24 @@ A and b, which are d x d and d numbers; rows stay on the executors.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from riskloom import constants as C
 from riskloom.functions import scalars as S
-from riskloom.functions.ordering import ROWS_PER_TASK, Key, take_in_order
+from riskloom.functions.ordering import Key, take_in_order
 from riskloom.functions.schemas import extended
 from riskloom.functions.vectors import lists, matrix, vector_sum, with_column
 from riskloom.operators.capacity import SCORE_PLACES, add_rewards, check_budgets
+from riskloom.operators.semantic import VECTOR_ROWS_PER_TASK
 from riskloom.session import fresh_path, materialize
 
 
@@ -80,6 +82,17 @@ class Policy:
     alpha: float = 1.0
     reward: float = C.TRUE_POSITIVE_REWARD
     cost: float = C.REVIEW_COST
+    #: Share of a day's rows that it reviews; None takes the replay's.
+    budget: float | None = None
+
+    def slots(self, n_rows: int, budget: float) -> int:
+        return max(1, math.ceil(n_rows * float(budget if self.budget is None else self.budget)))
+
+
+def by_policy(policies: list[Policy], value) -> Column:
+    """A number per policy as an expression on the column ``policy``."""
+    cases = " ".join(f"when policy = '{p.name}' then {value(p)!r}" for p in policies)
+    return F.expr(f"case {cases} end")
 
 
 def policy_grid(cost: float = C.REVIEW_COST) -> list[Policy]:
@@ -138,24 +151,23 @@ STATE_SCHEMA = "policy string, day date, a array<double>, b array<double>"
 
 
 # --- one day ----------------------------------------------------------------
-def untrained_score(x: str = "x", alpha: float = 1.0, ridge: float = 1.0):
-    """The score before any feedback: alpha times sqrt(xT x / ridge)."""
-    return F.lit(alpha) * F.sqrt(S.dot(F.col(x), F.col(x)) / F.lit(ridge))
-
-
-def bandit_scores(contexts: DataFrame, policies: list[Policy], state: State, keep: list[str]) -> DataFrame:
+def bandit_scores(
+    contexts: DataFrame, policies: list[Policy], state: State, keep: list[str], with_x: bool = True
+) -> DataFrame:
     """One row per event and policy with its upper confidence bound ``ucb_score``.
 
-    All policies share one scan; the models travel in the task closure.
+    All policies share one scan; the models travel in the task closure. Without
+    ``with_x`` the contexts stay behind.
     """
     settings = [(p.name, p.alpha, *state.models[p.name].weights()) for p in policies]
     rows = contexts.select(*keep, "x")
-    schema = extended(rows.schema, "policy string, ucb_score double")
+    schema = extended(rows.schema if with_x else contexts.select(*keep).schema, "policy string, ucb_score double")
     dims = len(settings[0][2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             x = matrix(part.column("x"), dims)
+            part = part if with_x else part.drop_columns(["x"])
             for name, alpha, theta, factor in settings:
                 score = x @ theta + alpha * np.linalg.norm(x @ factor.T, axis=1)
                 named = with_column(part, "policy", pa.array([name] * len(x), pa.string()))
@@ -165,30 +177,26 @@ def bandit_scores(contexts: DataFrame, policies: list[Policy], state: State, kee
 
 
 def review_day(
-    scored: DataFrame, slots: int, n_rows: int, tie: str = "id", rows_per_task: int = ROWS_PER_TASK
+    scored: DataFrame, policies: list[Policy], n_rows: int, budget: float, tie: str = "seq",
+    rows_per_task: int = VECTOR_ROWS_PER_TASK,
 ) -> DataFrame:
-    """The best ``slots`` rows of a day for every policy."""
-    score = f"round(ucb_score, {SCORE_PLACES}) as _score"
+    """The best rows of a day for every policy, by its own budget.
+
+    A day of more than ``rows_per_task`` rows should be a written table: the selection reads it several times.
+    """
+    rows = scored.withColumn("_score", F.round("ucb_score", SCORE_PLACES))
+    slots = by_policy(policies, lambda p: p.slots(n_rows, budget))
     if n_rows <= rows_per_task:
-        ranked = scored.selectExpr("*", score).selectExpr(
-            "*", f"row_number() over (partition by policy order by _score desc, `{tie}`) as _rank"
-        )
-        return ranked.where(f"_rank <= {slots}").drop("_rank", "_score")
-    # Written first: the selection reads the scores several times.
-    rows = materialize(scored, "day-scores").selectExpr("*", score)
-    quotas = rows.groupBy("policy").agg(F.lit(slots).cast("bigint").alias("quota"))
-    keys = [Key("_score", descending=True), Key(tie)]
-    return take_in_order(rows, ["policy"], keys, quotas, rows_per_task).drop("_score")
+        best = Window.partitionBy("policy").orderBy(F.col("_score").desc(), tie)
+        return rows.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= slots).drop("_rank", "_score")
+    quotas = rows.select("policy").distinct().withColumn("quota", slots.cast("bigint"))
+    return take_in_order(rows, ["policy"], [Key("_score", descending=True), Key(tie)], quotas, rows_per_task).drop("_score")
 
 
 def feedback(queue: DataFrame, policies: list[Policy]) -> DataFrame:
     """The reward that the review of each queued row returned."""
-    def setting(value) -> str:
-        cases = " ".join(f"when policy = '{p.name}' then {float(value(p))!r}D" for p in policies)
-        return f"case {cases} end"
-
-    gain, cost = setting(lambda p: p.reward), setting(lambda p: p.cost)
-    return queue.selectExpr("*", f"if(is_malicious = 1, {gain}, -({cost})) as review_reward")
+    gain, cost = by_policy(policies, lambda p: float(p.reward)), by_policy(policies, lambda p: float(p.cost))
+    return queue.withColumn("review_reward", F.when(F.col("is_malicious") == 1, gain).otherwise(-cost).cast("double"))
 
 
 def update_sums(queue: DataFrame, dims: int, by: tuple[str, ...] = ("policy",)) -> DataFrame:
@@ -258,7 +266,7 @@ def bandit_replay(
     tie: str = "seq",
     state: State | None = None,
     path: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = VECTOR_ROWS_PER_TASK,
     keep_scores: bool = False,
 ) -> Replay:
     """Replay the days of ``contexts`` in order.
@@ -267,10 +275,11 @@ def bandit_replay(
     partitioned by ``day``: every step reads one partition. The reviewed rows of a day
     are written to ``path`` before the next day starts, so the plan never grows, and a
     replay that is started again over the same days writes the same rows. With
-    ``keep_scores`` every row's score is written too, by the model its day began with.
+    ``keep_scores`` every row's score is written too, by the model its day began with. A policy
+    may have a budget of its own, so that one replay serves several capacities.
     """
-    check_budgets([budget])
     policies = policies or [Policy()]
+    check_budgets([budget, *[p.budget for p in policies if p.budget is not None]])
     spark = contexts.sparkSession
     volume = (
         contexts.groupBy("day").agg(F.count(F.lit(1)).alias("emails"))
@@ -282,11 +291,7 @@ def bandit_replay(
     schema = None
     kept = fresh_path(spark, "scores") if keep_scores else None
     for day, n_rows in volume:
-        slots = max(1, int(np.ceil(n_rows * float(budget))))
-        if kept:
-            rows = bandit_scores(contexts.filter(F.col("day") == F.lit(day)), policies, state, QUEUE_KEEP).drop("x")
-            rows.write.parquet(f"{kept}/day={day.isoformat()}")
-        queue = replay_day(contexts, day, n_rows, slots, policies, state, path, tie, rows_per_task)
+        queue = replay_day(contexts, day, n_rows, budget, policies, state, path, tie, rows_per_task, kept)
         schema = schema or queue.schema
         state = apply_update(state, update_sums(queue, dims), day)
     if schema is None:
@@ -294,19 +299,31 @@ def bandit_replay(
     # Only the days of this replay: the folder may hold others.
     days = [r[0] for r in volume]
     queue = spark.read.schema(extended(schema, "day date")).parquet(path).filter(F.col("day").between(days[0], days[-1]))
-    scores = spark.read.schema(extended(rows.schema, "day date")).parquet(kept) if kept else None
+    scores = spark.read.parquet(kept) if kept else None
     return Replay(queue, replay_daily(queue, contexts, policies), state, scores)
 
 
 def replay_day(
-    contexts: DataFrame, day: dt.date, n_rows: int, slots: int, policies: list[Policy],
-    state: State, path: str, tie: str = "seq", rows_per_task: int = ROWS_PER_TASK,
+    contexts: DataFrame, day: dt.date, n_rows: int, budget: float, policies: list[Policy], state: State, path: str,
+    tie: str = "seq", rows_per_task: int = VECTOR_ROWS_PER_TASK, scores: str | None = None,
 ) -> DataFrame:
-    """Score one day with ``state`` and write its reviewed rows."""
+    """Score one day with ``state`` and write its reviewed rows.
+
+    Contexts travel with the scores on a small day only. On a large one, or where ``scores`` names a
+    folder to keep them in, the scores are written without, and the reviewed rows fetch theirs by ``tie``,
+    a row's place in the log.
+    """
     spark = contexts.sparkSession
     rows = contexts.filter(F.col("day") == F.lit(day))
-    scored = bandit_scores(rows, policies, state, QUEUE_KEEP)
-    chosen = feedback(review_day(scored, slots, n_rows, tie, rows_per_task), policies)
+    narrow = scores is not None or n_rows > rows_per_task
+    scored = bandit_scores(rows, policies, state, QUEUE_KEEP, with_x=not narrow)
+    if narrow:
+        kept = f"{scores or fresh_path(spark, 'day-scores')}/day={day.isoformat()}"
+        scored.write.mode("overwrite").parquet(kept)
+        scored = spark.read.schema(scored.schema).parquet(kept)
+    chosen = feedback(review_day(scored, policies, n_rows, budget, tie, rows_per_task), policies)
+    if narrow:
+        chosen = chosen.join(rows.select(tie, "x"), tie).select(*QUEUE_KEEP, "x", "policy", "ucb_score", "review_reward")
     target = f"{path}/day={day.isoformat()}"
     chosen.write.mode("overwrite").parquet(target)
     return spark.read.schema(chosen.schema).parquet(target)
@@ -331,6 +348,11 @@ def replay_daily(queue: DataFrame, contexts: DataFrame, policies: list[Policy])
     )
 
 
+def with_budgets(rows: DataFrame, policies: list[Policy], budget: float = 0.01) -> DataFrame:
+    """``rows`` with the ``budget`` of their policy."""
+    return rows.withColumn("budget", by_policy(policies, lambda p: float(budget if p.budget is None else p.budget)).cast("double"))
+
+
 def sensitivity_table(
     replay: Replay, policies: list[Policy], summary: DataFrame, hits: DataFrame, labels: DataFrame
 ) -> DataFrame:

@@ -151,10 +151,7 @@ CONTEXTS = f"""ctx AS (
 SELECT t.id, t.seq, t."user", t.day, t.is_malicious, t.scenario, 1.0::DOUBLE AS x0, {_X}
 FROM test t CROSS JOIN scaler s)"""
 N_CONTEXT = len(CONTEXT) + 1
-_NORM = " + ".join(f"x{i} * x{i}" for i in range(N_CONTEXT))
-UNTRAINED = f"adaptive AS (SELECT *, sqrt({_NORM}) AS ucb_score FROM ctx)"
-BANDIT = ", ".join([BASE, TRAIN, TEST, SCALER, CONTEXTS, UNTRAINED])
-ADAPTIVE_DAILY = ", ".join([BANDIT, BUDGETS, daily_top("adaptive", "ucb_score", "top", "seq")])
+BANDIT = ", ".join([BASE, TRAIN, TEST, SCALER, CONTEXTS])
 
 
 def daily_metrics(top: str, population: str, name: str = "daily") -> str:
@@ -186,8 +183,8 @@ FROM {daily} GROUP BY budget)"""
 
 # The hybrid queue: 5% static and 5% adaptive under a daily target of 10%.
 STATIC_SHARE, TARGET = 0.05, 0.10
-HYBRID = ", ".join([
-    STATIC, SCALER, CONTEXTS, UNTRAINED,
+# Follows the static scores and the learnt queue.
+MERGED = ", ".join([
     """quota AS (
 SELECT day, greatest(1, ceil(count(*) * CAST(0.10 AS DOUBLE))) AS target,
   greatest(1, ceil(count(*) * CAST(0.05 AS DOUBLE))) AS share FROM scores GROUP BY day)""",
@@ -196,9 +193,7 @@ SELECT s.*, q.target, q.share,
   row_number() OVER (PARTITION BY s.day ORDER BY round(risk_score, 9) DESC, seq) AS srank
 FROM scores s JOIN quota q ON q.day = s.day)""",
     """aqueue AS (
-SELECT day, id, seq, is_malicious, scenario, ucb_score FROM (
-  SELECT a.*, q.share, row_number() OVER (PARTITION BY a.day ORDER BY round(ucb_score, 9) DESC, seq) AS arank
-  FROM adaptive a JOIN quota q ON q.day = a.day) z WHERE arank <= share)""",
+SELECT day, id, seq, is_malicious, scenario, ucb_score FROM lqueue WHERE budget = CAST(0.05 AS DOUBLE))""",
     """extra AS (
 SELECT a.*, row_number() OVER (PARTITION BY a.day ORDER BY a.seq) AS pos
 FROM aqueue a ANTI JOIN (SELECT day, id FROM sranked WHERE srank <= share) s

@@ -52,5 +52,5 @@ QUERIES = {
         SELECT CAST(day AS VARCHAR) AS day, count(*) AS emails FROM act GROUP BY day"""),
     "stream_deviation": (stream_deviation, f"""WITH {sql.ACT}, {sql.VECTORS}, {sql.DEVIATION}
         SELECT id, round(semantic_deviation, 6) AS semantic_deviation FROM dev"""),
-    "stream_bandit_daily": (stream_bandit_daily, None),
+    "stream_bandit_daily": (stream_bandit_daily, pq.DAILY_SQL),
 }

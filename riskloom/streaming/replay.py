@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordering import ROWS_PER_TASK
 from riskloom.functions.schemas import extended
 from riskloom.operators.bandit import (
     STATE_SCHEMA, Model, Policy, Replay, State, apply_update, replay_daily, replay_day, update_sums,
 )
+from riskloom.operators.semantic import VECTOR_ROWS_PER_TASK
 from riskloom.session import fresh_path
 from riskloom.sources.paths import names
 from riskloom.streaming.logs import run_to_end
@@ -29,7 +27,7 @@ def replay_stream(
     path: str | None = None,
     checkpoint: str | None = None,
     flush: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = VECTOR_ROWS_PER_TASK,
 ) -> Replay:
     """Replay days as they close.
 
@@ -52,8 +50,7 @@ def replay_stream(
 
     def close(rows: DataFrame, state: State, days: list) -> State:
         for day, n_rows in days:
-            slots = max(1, math.ceil(n_rows * float(budget)))
-            queue = replay_day(rows, day, n_rows, slots, policies, state, f"{path}/queue", rows_per_task=rows_per_task)
+            queue = replay_day(rows, day, n_rows, budget, policies, state, f"{path}/queue", rows_per_task=rows_per_task)
             state = apply_update(state, update_sums(queue, dims), day)
         return state
 
