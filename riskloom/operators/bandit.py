@@ -34,16 +34,50 @@ from riskloom.session import fresh_path, materialize
 # --- contexts ---------------------------------------------------------------
 @dataclass(frozen=True)
 class Scaler:
-    """Mean and deviation of every context column over the training rows."""
+    """Mean and deviation of every context column, and of every vector element, over the training rows."""
 
     n_train: int
     columns: tuple[str, ...]
     mean: tuple[float, ...]
     std: tuple[float, ...]
+    vector: str | None = None
+    vector_mean: tuple[float, ...] = ()
+    vector_std: tuple[float, ...] = ()
 
 
-def scaler_table(train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR) -> DataFrame:
-    """One row per context column, from one aggregation without a key."""
+def elements(vector: str, dims: int) -> Column:
+    """The first ``dims`` elements of a vector; what it lacks or is no finite number is null."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: S.finite(F.get(vector, i).cast("double")))
+
+
+def vector_table(train: DataFrame, vector: str, dims: int, prefix: str, floor: float = C.SCALER_FLOOR) -> DataFrame:
+    """The rows of ``scaler_table`` for the elements of a vector; every task adds up its own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square, rows = np.zeros(dims, np.int64), np.zeros(dims), np.zeros(dims), 0
+        for part in batches:
+            x = matrix(part.column("x"), dims)
+            known = np.isfinite(x)
+            x = np.where(known, x, 0.0)
+            n, total, square, rows = n + known.sum(axis=0), total + x.sum(axis=0), square + (x * x).sum(axis=0), rows + len(x)
+        yield pa.RecordBatch.from_pydict({
+            "i": pa.array(np.arange(dims, dtype=np.int32)), "rows": [rows] * dims, "n": n, "total": total, "square": square})
+
+    parts = train.select(elements(vector, dims).alias("x")).mapInArrow(
+        run, "i int, rows bigint, n bigint, total double, square double")
+    sums = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "total", "square")])
+    mean = S.ratio(F.col("total"), F.col("n"))
+    variance = S.ratio(F.col("square"), F.col("n")) - mean * mean
+    return sums.select(
+        F.col("rows").alias("n_train"), F.concat(F.lit(prefix), F.col("i").cast("string")).alias("feature"), "n",
+        mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(floor))).alias("std"))
+
+
+def scaler_table(
+    train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR, vector: str | None = None, dims: int = 0,
+    prefix: str = "embed_",
+) -> DataFrame:
+    """One row per context column and vector element, from aggregations without a key."""
     values = train.select(*[S.scaled_feature(c).alias(c) for c in columns])
     parts = [
         F.struct(
@@ -53,17 +87,25 @@ def scaler_table(train: DataFrame, columns: list[str], floor: float = C.SCALER_F
         for c in columns
     ]
     wide = values.agg(F.count(F.lit(1)).alias("n_train"), F.array(*parts).alias("rows"))
-    return wide.select("n_train", F.explode("rows").alias("r")).select("n_train", "r.*")
+    rows = wide.select("n_train", F.explode("rows").alias("r")).select("n_train", "r.*")
+    return rows.unionByName(vector_table(train, vector, dims, prefix, floor)) if vector else rows
+
+
+def fit_scaler(
+    train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR, vector: str | None = None, dims: int = 0
+) -> Scaler:
+    """Fit on the training rows; no label is read. One row per column and element reaches the driver."""
+    rows = scaler_table(train, columns, floor, vector, dims, prefix="").collect()
+    found = {r["feature"]: r for r in rows}
+    inside = [str(i) for i in range(dims if vector else 0)]
+    if any(c not in found or not found[c]["n_train"] or not found[c]["n"] for c in [*columns, *inside]):
+        raise ValueError("the training period has no usable value for some context column")
 
+    def get(names, part) -> tuple[float, ...]:
+        return tuple(found[c][part] for c in names)
 
-def fit_scaler(train: DataFrame, columns: list[str], floor: float = C.SCALER_FLOOR) -> Scaler:
-    """Fit on the training rows; no label is read. One row per column reaches the driver."""
-    rows = scaler_table(train, columns, floor).collect()
-    if any(not r["n_train"] or not r["n"] for r in rows):
-        raise ValueError("the training period has no usable value for some context column")
-    return Scaler(
-        rows[0]["n_train"], tuple(columns), tuple(r["mean"] for r in rows), tuple(r["std"] for r in rows)
-    )
+    return Scaler(found[columns[0]]["n_train"], tuple(columns), get(columns, "mean"), get(columns, "std"),
+                  vector, get(inside, "mean"), get(inside, "std"))
 
 
 def scale_context(df: DataFrame, scaler: Scaler, keep: list[str]) -> DataFrame:
@@ -72,7 +114,11 @@ def scale_context(df: DataFrame, scaler: Scaler, keep: list[str]) -> DataFrame:
         F.coalesce((S.scaled_feature(c) - F.lit(mean)) / F.lit(std), F.lit(0.0))
         for c, mean, std in zip(scaler.columns, scaler.mean, scaler.std)
     ]
-    return df.select(*keep, F.array(F.lit(1.0), *values).alias("x"))
+    x = F.array(F.lit(1.0), *values)
+    if scaler.vector:
+        centred = F.zip_with(elements(scaler.vector, len(scaler.vector_mean)), F.lit(list(scaler.vector_mean)), lambda v, m: v - m)
+        x = F.concat(x, F.zip_with(centred, F.lit(list(scaler.vector_std)), lambda v, s: F.coalesce(v / s, F.lit(0.0))))
+    return df.select(*keep, x.alias("x"))
 
 
 # --- policies and model state -----------------------------------------------

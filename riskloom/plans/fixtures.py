@@ -86,12 +86,12 @@ def label_rows(spark: SparkSession, sf: str) -> DataFrame:
 KEYS = ("id", "seq", "user", "ts", "day", "is_malicious", "scenario")
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table, written once: its window over vectors is the costly part."""
+def features(spark: SparkSession, sf: str, vector: bool = False) -> DataFrame:
+    """The feature table, written once: its window over vectors is the costly part. With ``vector`` it
+    holds the vectors too, which only contexts read."""
     log = activity(spark, sf, embedding=True)
-    parts = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBED_CONTEXT)]
-    meta = activity_features(log, DOMAIN, keep=(*KEYS, "embedding", *parts))
-    keep = tuple(c for c in meta.columns if c != "embedding")
+    meta = activity_features(log, DOMAIN, keep=(*KEYS, "embedding"))
+    keep = tuple(c for c in meta.columns if vector or c != "embedding")
     return materialize(semantic_deviation(meta, dims=DIMS, keep=keep), "features")
 
 
@@ -109,9 +109,9 @@ def written_scores(spark: SparkSession, sf: str, feats: DataFrame | None = None)
 
 def contexts(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> DataFrame:
     """Bandit contexts of the test rows."""
-    feats = feats if feats is not None else features(spark, sf)
+    feats = feats if feats is not None else features(spark, sf, vector=True)
     train, test = split_by_time(feats, TRAIN_END)
-    scaler = fit_scaler(train, CONTEXT)
+    scaler = fit_scaler(train, C.BASE_CONTEXT, vector="embedding", dims=DIMS)
     return scale_context(test, scaler, ["id", "seq", "user", "day", "is_malicious", "scenario"])
 
 

@@ -19,8 +19,8 @@ N = sql.N_CONTEXT
 
 # --- contexts ---------------------------------------------------------------
 def context_scaler(spark, sf):
-    train, _ = split_by_time(fx.features(spark, sf), fx.TRAIN_END)
-    rows = bandit.scaler_table(train, fx.CONTEXT)
+    train, _ = split_by_time(fx.features(spark, sf, vector=True), fx.TRAIN_END)
+    rows = bandit.scaler_table(train, C.BASE_CONTEXT, vector="embedding", dims=fx.DIMS)
     return fx.rounded(rows, "mean", "std")
 
 
@@ -112,7 +112,7 @@ def policy_daily_reward(spark, sf):
 
 def policy_run_summary(spark, sf):
     """A run's summary with its settings: exploration, ridge, reward, cost, and the rows its scaler saw."""
-    feats = fx.features(spark, sf)
+    feats = fx.features(spark, sf, vector=True)
     summary = capacity.run_summary(_learnt(spark, sf, fx.BUDGETS, feats)[1])
     train, _ = split_by_time(feats, fx.TRAIN_END)
     arm = bandit.Policy()
@@ -135,7 +135,7 @@ METHODS = {"static": "Static anomaly baseline", "learnt": "LinUCB", "merged": "C
 def _merged(spark, sf, scores=None, adaptive=None):
     """The queue merged from the static scores and the rows that the learnt policy reviewed at its share."""
     if scores is None:
-        feats = fx.features(spark, sf)
+        feats = fx.features(spark, sf, vector=True)
         scores = fx.written_scores(spark, sf, feats)
         adaptive = _learnt(spark, sf, [sql.STATIC_SHARE], feats)[0]
     adaptive = adaptive.filter(F.col("budget") == sql.STATIC_SHARE).select("day", "id", "seq", "user", "is_malicious", "ucb_score")
@@ -169,7 +169,7 @@ FROM (SELECT count(*) AS k, sum(is_malicious) AS tp, count(*) FILTER (selection_
 # --- comparison -------------------------------------------------------------
 def _arms(spark, sf):
     """Scores, static selections, learnt selections with their daily series, and the merged queue's parts."""
-    feats = fx.features(spark, sf)
+    feats = fx.features(spark, sf, vector=True)
     scores = fx.written_scores(spark, sf, feats)
     queue, daily, _ = _learnt(spark, sf, fx.BUDGETS, feats)
     static = materialize(capacity.top_by_budget(scores, "risk_score", fx.BUDGETS, by="day"), "static-top")
@@ -257,7 +257,7 @@ def hybrid_scenarios(spark, sf):
 
 # --- paired comparison ------------------------------------------------------
 def _pair(spark, sf):
-    feats = fx.features(spark, sf)
+    feats = fx.features(spark, sf, vector=True)
     scores = fx.written_scores(spark, sf, feats)
     static = capacity.top_by_budget(scores, "risk_score", [REPLAY_BUDGET], by="day")
     return (

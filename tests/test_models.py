@@ -1,6 +1,7 @@
 """Models against plain numpy."""
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -207,27 +208,32 @@ def contexts(days=4, n=60, dims=4, seed=7, flip=()):
     return rows
 
 
-def brute_replay(rows, policy, budget, ridge=1.0):
-    """One row update at a time, in log order."""
-    d = len(rows[0][5])
-    inverse, b = np.eye(d) / ridge, np.zeros(d)
-    queue, daily = {}, {}
-    for day in sorted({r[4] for r in rows}):
-        part = [r for r in rows if r[4] == day]
-        x = np.array([r[5] for r in part])
-        score = x @ (inverse @ b) + policy.alpha * np.sqrt(np.einsum("ij,jk,ik->i", x, inverse, x))
+def model_of(seen, d, ridge=1.0):
+    """A and b of all rows reviewed so far, given as (x, reward)."""
+    x, reward = np.array([x for x, _ in seen]).reshape(-1, d), np.array([r for _, r in seen])
+    return ridge * np.eye(d) + x.T @ x, x.T @ reward
+
+
+def bounds(seen, x, alpha):
+    """Upper confidence bounds: a ridge regression on ``seen``, and the length of L^-1 x where A is L LT."""
+    a, b = model_of(seen, x.shape[1])
+    lower = np.linalg.cholesky(a)
+    return x @ np.linalg.solve(a, b) + alpha * np.sqrt((np.linalg.solve(lower, x.T) ** 2).sum(axis=0))
+
+
+def brute_replay(rows, policy, budget):
+    """Every day's model is fitted anew on all that was reviewed before."""
+    seen, queue, daily = [], {}, {}
+    for day, part in itertools.groupby(sorted(rows, key=lambda r: r[4]), key=lambda r: r[4]):
+        part = list(part)
+        scores = bounds(seen, np.array([r[5] for r in part]), policy.alpha)
         quota = max(1, math.ceil(len(part) * budget))
-        chosen = sorted(sorted(range(len(part)), key=lambda i: (-round(score[i], 9), part[i][1]))[:quota])
-        for i in chosen:
-            reward = policy.reward if part[i][3] else -policy.cost
-            p = inverse @ x[i]
-            inverse = inverse - np.outer(p, p) / (1 + x[i] @ p)
-            b = b + reward * x[i]
-            queue[part[i][0]] = score[i]
-        hits = sum(part[i][3] for i in chosen)
-        daily[day] = (len(part), quota, hits, min(quota, sum(r[3] for r in part)),
-                      hits * policy.reward - (quota - hits) * policy.cost)
-    return queue, daily, inverse, b
+        best = sorted(zip(-np.round(scores, 9), (r[1] for r in part), scores, part), key=lambda b: b[:2])[:quota]
+        queue.update({row[0]: score for _, _, score, row in best})
+        rewards = [policy.reward if row[3] else -policy.cost for *_, row in best]
+        seen += [(row[5], reward) for (*_, row), reward in zip(best, rewards)]
+        daily[day] = (len(part), quota, sum(row[3] for *_, row in best), min(quota, sum(r[3] for r in part)), sum(rewards))
+    return queue, daily, *model_of(seen, len(rows[0][5])), seen
 
 
 @pytest.mark.parametrize("rows_per_task", [20, 10**6])
@@ -238,7 +244,7 @@ def test_replay_against_row_updates(spark, rows_per_task):
     replay = bandit_replay(df, policies, 0.1, rows_per_task=rows_per_task)
     daily = replay.daily.collect()
     for policy in policies:
-        queue, want, inverse, b = brute_replay(rows, policy, 0.1)
+        queue, want, a, b, _ = brute_replay(rows, policy, 0.1)
         got = {r["id"]: r["ucb_score"] for r in replay.queue.filter(F.col("policy") == policy.name).collect()}
         same(got, queue)
         series = {
@@ -247,7 +253,7 @@ def test_replay_against_row_updates(spark, rows_per_task):
         }
         assert series == want
         model = replay.state.models[policy.name]
-        assert np.allclose(np.linalg.inv(model.a), inverse, atol=1e-9) and np.allclose(model.b, b)
+        assert np.allclose(model.a, a, atol=1e-9) and np.allclose(model.b, b)
 
 
 def test_replay_never_sees_unreviewed_labels(spark):
@@ -269,6 +275,32 @@ def test_scaler_imputes_the_mean(spark):
         fit_scaler(train.limit(0), ["hour_of_day"])
 
 
+def test_policies_have_budgets_of_their_own(spark):
+    rows = contexts(days=3)
+    arms = [Policy("small", budget=0.02), Policy("large", 0.5, 100.0, budget=0.3), Policy("plain")]
+    df = spark.createDataFrame(rows, CONTEXT_SCHEMA)
+    for rows_per_task in (25, 10**6):
+        replay = bandit_replay(df, arms, 0.1, rows_per_task=rows_per_task)
+        for arm in arms:
+            want = brute_replay(rows, arm, arm.budget or 0.1)[0]
+            same({r["id"]: r["ucb_score"] for r in replay.queue.filter(F.col("policy") == arm.name).collect()}, want)
+    with pytest.raises(ValueError):
+        bandit_replay(df, [Policy("none", budget=0.0)])
+
+
+def test_scaler_of_a_vector(spark):
+    rows = [([1.0, 2.0, float("nan")],), ([3.0, None, 5.0],), ([5.0],), (None,), ([float("inf"), 4.0, 5.0, 9.0],)]
+    df = spark.createDataFrame([(1.0, *r) for r in rows], "hour_of_day double, v array<float>")
+    scaler = fit_scaler(df, ["hour_of_day"], vector="v", dims=3)
+    assert (scaler.n_train, scaler.vector_mean) == (5, (3.0, 3.0, 5.0))
+    assert np.allclose(scaler.vector_std, [math.sqrt(8 / 3), 1.0, 1e-3])
+    got = [r["x"][2:] for r in scale_context(df, scaler, []).collect()]
+    step = 2 / math.sqrt(8 / 3)
+    assert np.allclose(got, [[-step, -1, 0], [0, 0, 0], [step, 0, 0], [0, 0, 0], [0, 1, 0]])
+    with pytest.raises(ValueError):
+        fit_scaler(df, ["hour_of_day"], vector="v", dims=5)
+
+
 def test_policy_grid_is_the_published_one():
     assert [(p.name, p.alpha, p.reward) for p in policy_grid()] == C.POLICY_GRID
 
@@ -282,11 +314,9 @@ def test_scores_of_all_days_against_row_updates(spark, sf):
     assert len(days) > 2 and got.keys() == {r[0] for r in rows}
     for day in days:
         past, now = [r for r in rows if r[4] < day], [r for r in rows if r[4] == day]
-        d = len(now[0][5])
-        inverse, b = brute_replay(past, Policy(), policy_queries.REPLAY_BUDGET)[2:] if past else (np.eye(d), np.zeros(d))
-        x = np.array([r[5] for r in now])
-        want = x @ (inverse @ b) + np.sqrt(np.einsum("ij,jk,ik->i", x, inverse, x))
-        assert np.allclose([got[r[0]] for r in now], want, atol=2e-6)
+        seen = brute_replay(past, Policy(), policy_queries.REPLAY_BUDGET)[4] if past else []
+        want = bounds(seen, np.array([r[5] for r in now]), 1.0)
+        assert np.allclose([got[r[0]] for r in now], want, atol=2e-5)
 
 
 def test_grid_has_every_scenario(spark, sf, monkeypatch):
