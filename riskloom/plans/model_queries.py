@@ -68,6 +68,22 @@ def reduced(spark, sf):
     )
 
 
+def component_lengths(spark, sf):
+    """With as many components as elements, a row's components are as long as its way from the mean of earlier days."""
+    rows = causal_pca(_vectors(spark, sf), "day", "embedding", fx.DIMS, dims=fx.DIMS, least=COMPONENTS)
+    length = F.aggregate("embed_pc", F.lit(0.0), lambda total, v: total + v * v)
+    return rows.select("id", F.col("day").cast("string").alias("day"), F.round(length, 5).alias("squared_length"))
+
+
+LENGTH_SQL = f"""WITH {sql.ACT}, {sql.VECTORS}, elements AS (
+SELECT id, day, a.i, CAST(x[a.i + 1] AS DOUBLE) AS v FROM vec, (SELECT unnest(range(0, {sql.DIMS})) AS i) a),
+days AS (SELECT day, i, count(*) AS n, sum(v) AS total FROM elements GROUP BY day, i),
+earlier AS (SELECT day, i, sum(total) FILTER (n >= {COMPONENTS}) OVER w / sum(n) FILTER (n >= {COMPONENTS}) OVER w AS mean
+  FROM days WINDOW w AS (PARTITION BY i ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT e.id, CAST(e.day AS VARCHAR) AS day, round(sum((v - mean) * (v - mean)), 5) AS squared_length
+FROM elements e JOIN earlier m ON m.day = e.day AND m.i = e.i GROUP BY e.id, e.day"""
+
+
 def feature_table(spark, sf):
     """Metadata, deviation, causal components and label of every event."""
     log = fx.activity(spark, sf, embedding=True).drop("is_malicious")
@@ -199,6 +215,7 @@ QUERIES = {
         SELECT CAST(day AS VARCHAR) AS day, i, j, n, round(total, 5) AS total, round(value, 5) AS value FROM moments"""),
     "causal_batch_moments": (prefix_moments, PREFIX_SQL),
     "causal_pca": (reduced, None),
+    "component_lengths": (component_lengths, LENGTH_SQL),
     "feature_table": (feature_table, None),
     "user_moments": (user_moments, f"""WITH {sql.BASE}, {sql.TRAIN}, {sql.USERS}
         SELECT "user", {_moment_columns('')} FROM users"""),

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
-from riskloom.operators import reduction
 from riskloom.operators.anomaly import fit_user_stats, score_anomaly
 from riskloom.operators.bandit import (
     Policy, bandit_replay, fit_scaler, policy_grid, scale_context,
@@ -89,7 +88,7 @@ def test_deviation_is_causal(spark):
 
 
 # --- causal components ------------------------------------------------------
-def test_causal_pca_against_numpy(spark, monkeypatch):
+def test_causal_pca_against_numpy(spark):
     rng = np.random.default_rng(5)
     sizes, k, dims = [30, 2, 40, 25], 3, 6
     rows, i = [], 0
@@ -111,9 +110,10 @@ def test_causal_pca_against_numpy(spark, monkeypatch):
                 top = vectors[:, ::-1][:, :k].T
                 top = top * np.sign(top[np.arange(k), np.abs(top).argmax(axis=1)])[:, None]
                 want[id_] = top @ (np.array(v) - mean)
-    for limit in (reduction.BASIS_BYTES, 1):
-        monkeypatch.setattr(reduction, "BASIS_BYTES", limit)
-        got = {r["id"]: r["embed_pc"] for r in causal_pca(df, "batch", "e", k).collect()}
+    for per_block, per_group in ((256, 50_000), (2, 50_000), (1, 3)):
+        rows = causal_pca(df, "batch", "e", k, per_block=per_block, rows_per_group=per_group).collect()
+        got = {r["id"]: r["embed_pc"] for r in rows}
+        assert len(rows) == len(got)
         assert got.keys() == want.keys()
         for id_, value in want.items():
             if value is None:
