@@ -20,6 +20,10 @@ from riskloom.session import materialize
 ROWS_PER_TASK = 2_000_000
 TEXT_PARTS = 4
 LADDER = [i / 1024 for i in range(1, 1024)]
+#: Accuracy of the quantile sketches: ranks are off by one part in so many.
+ACCURACY = 10_000
+#: Groups of more rows are narrowed by a sketch before they are shuffled.
+BOUND_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -109,7 +113,7 @@ def ordered_slots(
         ladder = (
             keyed.join(F.broadcast(big), on)
             .groupBy(*[big[g] for g in group], big["_n"])
-            .agg(F.percentile_approx("_k", LADDER, 10_000).alias("_q"))
+            .agg(F.percentile_approx("_k", LADDER, ACCURACY).alias("_q"))
         )
         step = F.greatest(F.lit(1), F.floor(F.lit(len(LADDER) + 1) * rows_per_task / F.col("_n")))
         cuts = ladder.select(
@@ -138,6 +142,31 @@ def slot_offsets(df: DataFrame, by: list[str], slots: list[str]) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_slot_rows").over(before), F.lit(0)))
 
 
+def candidates(df: DataFrame, by: list[str], key: Key, quotas: DataFrame) -> tuple[DataFrame, int]:
+    """The rows that can be among the first ``quota`` of their group, and the size of the largest group of them.
+
+    A mergeable quantile sketch of the first sort key, combined in every map task, bounds the key of the
+    quota-th row. Only rows within the bound are written, before anything is shuffled: per group about the quota, two
+    thousandths of its rows, and ties at the bound. If the sketch should have been too tight
+    for some group, the count shows it and all rows are taken.
+    """
+    number = sort_numbers(df, key)[0]
+    sketch = df.select(*by, number.alias("_k")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_k", LADDER, ACCURACY).alias("_ladder"))
+    step = F.ceil((F.col("quota") / F.col("_n") + F.lit(2 / ACCURACY)) * (len(LADDER) + 1)).cast("int")
+    bounds = sketch.join(quotas.select(*by, "quota"), by).select(
+        *by, F.least("quota", "_n").alias("_least"), F.get("_ladder", step - 1).alias("_bound"))
+    bounds = materialize(bounds, "selection-bounds")
+    near = df.join(bounds, by).filter(F.col("_bound").isNull() | (number <= F.col("_bound"))).select(*df.columns)
+    near = materialize(near, "selection-candidates")
+    found = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    state = bounds.join(found, by, "left").agg(
+        F.max("_n").alias("largest"), F.coalesce(F.max(F.coalesce("_n", F.lit(0)) < F.col("_least")), F.lit(False)).alias("short")).first()
+    if state["short"]:
+        return df, sketch.agg(F.max("_n")).first()[0]
+    return near, state["largest"] or 0
+
+
 def take_in_order(
     df: DataFrame,
     by: list[str],
@@ -150,12 +179,14 @@ def take_in_order(
     """The first ``quota`` rows of every group in key order.
 
     ``quotas`` has one row per group with its ``quota``; groups without a row are
-    dropped. Slots that lie wholly before the quota pass without ranking, slots
+    dropped. Groups of more than ``BOUND_ROWS`` rows are narrowed first, see ``candidates``. Slots that lie wholly before the quota pass without ranking, slots
     wholly behind it are dropped before any shuffle, and only the slot that holds
     the edge is sorted. ``rank`` names an output column for the exact position;
     asking for it ranks every kept slot.
     """
     wanted = rank or "_rank"
+    if largest is None or largest > BOUND_ROWS:
+        df, largest = candidates(df, by, keys[0], quotas)
     slotted, slots = ordered_slots(df, by, keys, rows_per_task, largest)
     window = Window.partitionBy(*by, *slots).orderBy(*[k.order(df) for k in keys])
     if not slots:
