@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from riskloom.functions.schemas import extended
 from riskloom.session import fresh_path
 
 
@@ -41,3 +42,11 @@ def latest_table(stream: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     run_to_end(stream, lambda batch, _: batch.write.mode("overwrite").parquet(path), "complete")
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def closed_rows(stream: DataFrame, label: str) -> DataFrame:
+    """Run an aggregated stream in append mode: what its watermark has closed, each group once."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, label)
+    run_to_end(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    return spark.read.schema(extended(stream.schema, "batch bigint")).parquet(path).drop("batch")

@@ -66,3 +66,31 @@ def test_replay_over_batches_and_restart(spark, tmp_path):
     df.filter("seq = 0").write.mode("append").parquet(source)
     again = go(flush=True)
     assert again.daily.orderBy(*order).collect() == want.daily.orderBy(*order).collect()
+
+
+def test_deviation_does_not_depend_on_arrival(spark, tmp_path, monkeypatch):
+    from riskloom.streaming import deviation
+
+    monkeypatch.setattr(deviation, "COMPACT", 2)
+    rows = spark.createDataFrame(events(n=80), SCHEMA).filter("ts is not null").collect()
+    rows = sorted(rows, key=lambda r: (r["ts"], r["seq"]))[:-1]  # without the lone row far behind the others
+    early, late = rows[0], dt.timedelta(seconds=rows[-1]["ts"] - rows[0]["ts"])
+    # every seventh row comes a file later, the first row and one without a time with the last file
+    lost = early.asDict() | {"seq": 999, "ts": None}
+    shifted = [(r, i // 20 + (i % 7 == 3)) for i, r in enumerate(rows[1:])] + [(early, 9)]
+    df = spark.createDataFrame([(*r, p) for r, p in shifted] + [(*lost.values(), 9)], SCHEMA + ", part int")
+    path = files(spark, df, "part", str(tmp_path / "in"))
+    stream = read_log_stream(spark, path, df.schema, files_per_batch=1)
+
+    def scores(**settings):
+        return {r["seq"]: r["semantic_deviation"] for r in deviation_stream(stream, 5, keep=("seq",), **settings).collect()}
+
+    punctual = {r["seq"]: r["semantic_deviation"] for r in semantic_deviation(spark.createDataFrame(rows[1:], SCHEMA)).collect()}
+    whole = {r["seq"]: r["semantic_deviation"] for r in semantic_deviation(spark.createDataFrame(rows, SCHEMA)).collect()}
+    state = str(tmp_path / "state")
+    same(scores(delay=late / 2, state=state), punctual)
+    clock = spark.read.parquet(f"{state}/clock/{deviation.FLUSHED}").first()
+    assert clock["late"] == 2 and len(clock["bases"]) <= 3
+    same(scores(delay=2 * late), whole)
+    open_rows = scores(delay=2 * late, flush=False)
+    assert open_rows == {}
