@@ -14,9 +14,10 @@ from riskloom.operators.capacity import day_sequence
 from riskloom.operators.embed import LetterCounts, embed_text
 from riskloom.plans import fixtures as fx
 from riskloom.plans import sql
-from riskloom.session import fresh_path
+from riskloom.session import fresh_path, materialize
 from riskloom.sources import incidents as inc
-from riskloom.sources.logs import bounded_prefix, read_labels, read_log, read_split_log
+from riskloom.sources.archive import write_zipped_csv
+from riskloom.sources.logs import bounded_prefix, read_labels, read_log, read_split_log, read_zipped_log
 from riskloom.sources.sinks import publish
 from riskloom.sources.snapshots import read_snapshots, snapshot_summary
 
@@ -44,6 +45,14 @@ def scan_split_log(spark, sf):
     return _log_digest(read_split_log(spark, _log_file(spark, sf), columns=LOG))
 
 
+def scan_zip(spark, sf):
+    """The log out of several zip archives, each written by one task and read by member."""
+    log = fx.table(spark, sf, "documents").select(*LOG).repartition(4)
+    written = write_zipped_csv(log, fresh_path(spark, "archives"))
+    archives = [r["path"] for r in materialize(written, "archive-list").collect()]  # one per task
+    return _log_digest(read_zipped_log(spark, archives, r"log\.csv", LOG))
+
+
 SCAN_SQL = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest FROM documents"
 
 # --- directory snapshots ----------------------------------------------------
@@ -56,10 +65,10 @@ def _snapshots(spark, sf):
         F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("segment"),
     )
-    for month, part in (("2024-01", 0), ("2024-02", 1)):
-        people.filter(F.col("user_id") % 2 == part).write.options(header="true", escape='"').csv(
-            f"{root}/{month}.csv"
-        )
+    # the second month has its columns in another order, and one more
+    later = people.select("segment", "user_id", F.lit("x").alias("extra"), "name")
+    for month, part, rows in (("2024-01", 0, people), ("2024-02", 1, later)):
+        rows.filter(F.col("user_id") % 2 == part).write.options(header="true", escape='"').csv(f"{root}/{month}.csv")
     return read_snapshots(spark, f"{root}/*.csv", DIRECTORY)
 
 
@@ -316,6 +325,7 @@ _M = [("size_bytes", "size"), ("attachments_per_row", "attachment_count"),
 QUERIES = {
     "scan_log": (scan_log, SCAN_SQL),
     "scan_split_log": (scan_split_log, SCAN_SQL),
+    "scan_zip": (scan_zip, SCAN_SQL),
     "snapshot_union": (snapshot_union, SNAPSHOT_SQL),
     "snapshot_counts": (snapshot_counts, f"""SELECT count(DISTINCT snapshot_month) AS n_snapshots,
         count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM ({SNAPSHOT_SQL})"""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -177,13 +178,14 @@ def _parse_records(records: DataFrame, columns: list[str], strict: bool) -> Data
 
 def read_zipped_log(
     spark: SparkSession,
-    archive: str,
+    archive: str | list[str],
     member: str = r"(.*/)?email\.csv",
     columns: list[str] | None = None,
     strict: bool = True,
 ) -> DataFrame:
-    """Scan members of a zip archive in place. A deflated member is one stream, so
-    each is one task; land the result once with ``publish`` and work from there."""
+    """Scan members of zip archives in place, on any store that the workers can open. ``archive`` is one archive, a folder
+    of them or a list. A deflated member is one stream, so each is one task; land the result once with
+    ``publish`` and work from there."""
     from riskloom.sources.archive import ZippedCsvSource
 
     spark.dataSource.register(ZippedCsvSource)
@@ -192,7 +194,7 @@ def read_zipped_log(
         spark.read.format("zipped_csv")
         .schema(text_schema(columns))
         .option("member", member).option("strict", str(strict).lower())
-        .load(archive)
+        .option("archives", json.dumps([archive] if isinstance(archive, str) else list(archive))).load()
     )
 
 

@@ -41,3 +41,12 @@ def create(path: str) -> NativeFile:
     store, inside = locate(path)
     store.create_dir(inside.rpartition("/")[0], recursive=True)
     return store.open_output_stream(inside, compression=None)
+
+
+def files_in(path: str, ending: str) -> list[str]:
+    """The path itself where it is a file, else the files of that ending in the folder, in order of name."""
+    store, inside = locate(path)
+    if store.get_file_info(inside).type != fs.FileType.Directory:
+        return [path]
+    found = store.get_file_info(fs.FileSelector(inside))
+    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.base_name) if f.base_name.endswith(ending)]

@@ -12,6 +12,8 @@ from riskloom.sources.logs import (
 )
 from riskloom.sources.paths import first_existing
 from riskloom.sources.sinks import as_summary, publish, publish_summary
+from riskloom.sources.archive import write_zipped_csv
+from riskloom.sources.logs import read_zipped_log
 from riskloom.sources.snapshots import read_snapshots, read_zipped_snapshots, snapshot_summary
 
 COLUMNS = ["id", "user", "content"]
@@ -134,9 +136,26 @@ def test_snapshots(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("1", "x", "2010-01"), ("1", "y", "2010-02"), ("2", "", "2010-01")]
     with pytest.raises(FileNotFoundError):
         read_snapshots(spark, str(tmp_path / "none*.csv"), ["user_id", "role"])
-    write_csv(tmp_path / "2010-03.csv", ["role", "user_id"], [("z", "9")])
-    with pytest.raises(Exception, match="CSV header does not conform"):
-        read_snapshots(spark, str(tmp_path / "*.csv"), ["user_id", "role"]).collect()
+    write_csv(tmp_path / "2010-03.csv", ["role", "more", "user_id"], [("z", "m", "9"), ("a, b", "", "8")])
+    (tmp_path / "2010-04.csv").write_text("")
+    third = read_snapshots(spark, str(tmp_path / "*.csv"), ["user_id", "role"]).filter("snapshot_month = '2010-03'")
+    assert sorted(tuple(r) for r in third.collect()) == [("8", "a, b", "2010-03"), ("9", "z", "2010-03")]
+    write_csv(tmp_path / "2010-05.csv", ["user_id", "Role"], [("1", "y")])
+    with pytest.raises(ValueError, match="do not match"):
+        read_snapshots(spark, str(tmp_path / "*.csv"), ["user_id", "role"])
+
+
+def test_archives_on_the_shared_store(spark, tmp_path):
+    rows = [(str(i), None if i % 5 == 0 else f'te"xt {i},\nü') for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, content string").repartition(3)
+    written = write_zipped_csv(df, f"file:{tmp_path}/archives").collect()
+    assert sum(r["rows"] for r in written) == 40 and len(written) == 3
+    for place in (f"file:{tmp_path}/archives", f"file://{tmp_path}/archives", [r["path"] for r in written]):
+        got = read_zipped_log(spark, place, r"log\.csv", ["id", "content"])
+        assert sorted(tuple(r) for r in got.collect()) == sorted((i, t or "") for i, t in rows)
+        assert got.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="no member"):
+        read_zipped_log(spark, f"{tmp_path}/archives", "other", ["id", "content"]).count()
 
 
 def test_incidents(spark, tmp_path):
