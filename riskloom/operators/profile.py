@@ -54,6 +54,24 @@ def profile_log(df: DataFrame, domain: str = C.INTERNAL_DOMAIN, approximate_user
     )
 
 
+#: Sketches of 2^12 registers: two of three estimates are within 1.6 %.
+SKETCH_BITS = 12
+
+
+def daily_sketches(df: DataFrame, by: str | Column = "day", user: str = "user", bits: int = SKETCH_BITS) -> DataFrame:
+    """Per day its rows and a mergeable sketch of its distinct users, to be stored and united later.
+
+    A few kilobytes per day, combined before the shuffle, on a stream as in batch. Null users are not counted.
+    """
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.hll_sketch_agg(user, F.lit(bits)).alias("users"))
+
+
+def united_users(sketches: DataFrame, *by: str | Column) -> DataFrame:
+    """Rows and estimated distinct users of any range of days, out of stored sketches alone."""
+    return sketches.groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("approx_users"))
+
+
 def numeric_profile(df: DataFrame, domain: str = C.INTERNAL_DOMAIN) -> DataFrame:
     """One row per measure with its summary, from a single scan."""
     measures = log_measures(df, domain)

@@ -17,8 +17,8 @@ from riskloom.plans import sql
 from riskloom.session import fresh_path, materialize
 from riskloom.sources import incidents as inc
 from riskloom.sources.archive import write_zipped_csv
-from riskloom.sources.logs import bounded_prefix, read_labels, read_log, read_split_log, read_zipped_log
-from riskloom.sources.sinks import publish
+from riskloom.sources.logs import bounded_prefix, read_daily, read_labels, read_log, read_split_log, read_zipped_log
+from riskloom.sources.sinks import publish, publish_version, read_version
 from riskloom.sources.snapshots import read_snapshots, snapshot_summary
 
 LOG = ["doc_id", "text"]
@@ -84,6 +84,49 @@ def snapshot_counts(spark, sf):
     return snapshot_summary(_snapshots(spark, sf))
 
 
+# --- stored results ---------------------------------------------------------
+def _week():
+    return F.floor(F.datediff("day", F.lit("2024-01-01").cast("date")) / 7).cast("bigint").alias("week")
+
+
+def weekly_users(spark, sf, sketches=None):
+    """Distinct users of every week, united from the daily sketches of a published table, against the exact count."""
+    log = fx.activity(spark, sf)
+    path = fresh_path(spark, "user-sketches")
+    publish_version(sketches if sketches is not None else prof.daily_sketches(log), path)
+    found = prof.united_users(read_version(spark, path), _week())
+    exact = log.groupBy(_week()).agg(F.countDistinct("user").alias("n_users"))
+    close = F.abs(F.col("approx_users") / F.col("n_users") - 1) < 0.08
+    return found.join(exact, "week").select("week", "n_rows", "n_users", close.alias("close"))
+
+
+WEEKS_SQL = f"""WITH {sql.ACT} SELECT CAST((day - DATE '2024-01-01') // 7 AS BIGINT) AS week, count(*) AS n_rows,
+count(DISTINCT "user") AS n_users, true AS close FROM act GROUP BY 1"""
+
+
+def published_series(spark, sf):
+    """A table published twice: the second version is read, and the first can still be named."""
+    log = fx.activity(spark, sf)
+    path = fresh_path(spark, "series")
+    daily = log.groupBy("day").agg(F.count(F.lit(1)).alias("emails"), F.sum("is_malicious").alias("true_positives"))
+    first = publish_version(daily.filter(F.day("day") <= 15), path)
+    publish_version(daily, path, partition_by=["day"])
+    earlier = read_version(spark, path, first).select("day", F.col("emails").alias("emails_before"))
+    rows = read_version(spark, path).select("day", "emails", "true_positives").join(earlier, "day", "left")
+    return fx.day_text(rows)
+
+
+def daily_series(spark, sf):
+    """A daily series written as CSV with its dates as the reports have them, and read for one budget."""
+    log = fx.activity(spark, sf)
+    path = fresh_path(spark, "daily-series")
+    daily = log.groupBy("day").agg(F.sum("is_malicious").alias("true_positives"))
+    date = F.when(F.day("day") % 2 == 0, F.date_format("day", "MM/dd/yyyy")).otherwise(F.col("day").cast("string"))
+    budgets = F.explode(F.array(*[F.lit(b) for b in fx.BUDGETS])).alias("budget")
+    publish(daily.select(date.alias("date"), budgets, "true_positives"), path, "csv")
+    return fx.day_text(read_daily(spark, path, 0.005))
+
+
 # --- incidents --------------------------------------------------------------
 def _incident_files(spark, sf) -> tuple[str, str]:
     """An index with one incident per user with labelled events, and a detail file for
@@ -325,6 +368,12 @@ _M = [("size_bytes", "size"), ("attachments_per_row", "attachment_count"),
 QUERIES = {
     "scan_log": (scan_log, SCAN_SQL),
     "scan_split_log": (scan_split_log, SCAN_SQL),
+    "weekly_users": (weekly_users, WEEKS_SQL),
+    "published_series": (published_series, f"""WITH {sql.ACT} SELECT CAST(day AS VARCHAR) AS day, count(*) AS emails,
+        CAST(sum(is_malicious) AS BIGINT) AS true_positives, CASE WHEN day(day) <= 15 THEN count(*) END AS emails_before
+        FROM act GROUP BY day"""),
+    "daily_series": (daily_series, f"""WITH {sql.ACT} SELECT CAST(day AS VARCHAR) AS day,
+        CAST(sum(is_malicious) AS BIGINT) AS true_positives FROM act GROUP BY day"""),
     "scan_zip": (scan_zip, SCAN_SQL),
     "snapshot_union": (snapshot_union, SNAPSHOT_SQL),
     "snapshot_counts": (snapshot_counts, f"""SELECT count(DISTINCT snapshot_month) AS n_snapshots,

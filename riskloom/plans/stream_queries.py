@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from riskloom.operators.profile import daily_sketches
 from riskloom.plans import fixtures as fx
 from riskloom.plans import policy_queries as pq
 from riskloom.plans import sql
+from riskloom.plans.log_queries import WEEKS_SQL, weekly_users
 from riskloom.session import fresh_path
 from riskloom.streaming.aggregates import daily_stream, profile_stream
 from riskloom.streaming.deviation import deviation_stream
@@ -49,6 +51,12 @@ def stream_daily_counts(spark, sf):
     return fx.day_text(latest_table(daily_stream(_events(spark, sf)), "stream-daily"))
 
 
+def stream_weekly_users(spark, sf):
+    """Weekly distinct users out of daily sketches that a stream of several files keeps."""
+    sketches = latest_table(daily_sketches(_arrivals(spark, sf)), "stream-sketches")
+    return weekly_users(spark, sf, sketches)
+
+
 def stream_closed_days(spark, sf):
     """Rows per day in append mode, over many files: a day appears once it is closed, later rows of it are dropped, and days
     that are still open at the end do not appear."""
@@ -93,6 +101,7 @@ QUERIES = {
           count(*) FILTER (n_recipients_external > 0) AS n_with_external FROM meta GROUP BY activity"""),
     "stream_daily_counts": (stream_daily_counts, f"""WITH {sql.ACT}
         SELECT CAST(day AS VARCHAR) AS day, count(*) AS emails FROM act GROUP BY day"""),
+    "stream_weekly_users": (stream_weekly_users, WEEKS_SQL),
     "stream_closed_days": (stream_closed_days, CLOSED_SQL),
     "stream_deviation": (stream_deviation, f"""WITH {PUNCTUAL}, {sql.VECTORS}, {sql.DEVIATION}
         SELECT id, round(semantic_deviation, 6) AS semantic_deviation FROM dev"""),

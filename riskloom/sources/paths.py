@@ -40,3 +40,23 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     hadoop, fs = _path(spark, path)
     fs.delete(hadoop, True)
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; refused if it exists, also where two writers try at once."""
+    hadoop, fs = _path(spark, path)
+    with_content = fs.create(hadoop, False)
+    try:
+        with_content.write(bytearray(text.encode()))
+    finally:
+        with_content.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    hadoop, fs = _path(spark, path)
+    stream = fs.open(hadoop)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -11,7 +11,8 @@ from riskloom.sources.logs import (
     bounded_days, read_daily, read_labels, read_log, read_scores, read_split_log, read_summary,
 )
 from riskloom.sources.paths import first_existing
-from riskloom.sources.sinks import as_summary, publish, publish_summary
+from riskloom.sources.paths import write_once
+from riskloom.sources.sinks import as_summary, pointers, publish, publish_summary, publish_version, read_version
 from riskloom.sources.archive import write_zipped_csv
 from riskloom.sources.logs import read_zipped_log
 from riskloom.sources.snapshots import read_snapshots, read_zipped_snapshots, snapshot_summary
@@ -187,6 +188,28 @@ def test_incidents(spark, tmp_path):
     assert tuple(inc.label_coverage(labels).first()) == (3, 1)
 
 
+def test_versions_are_never_missing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, path)
+    first = publish_version(spark.range(5), path)
+    held = read_version(spark, path)
+    failing = spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        publish_version(failing, path)
+    assert read_version(spark, path).count() == 5
+    second = publish_version(spark.range(7), path)
+    # a writer that died between creating its pointer and writing it
+    write_once(spark, f"{path}/pointers/000000009", "")
+    assert read_version(spark, path).count() == 7 and held.count() == 5
+    assert read_version(spark, path, first).count() == 5
+    with pytest.raises(Exception):
+        write_once(spark, f"{path}/pointers/{second}", "other")
+    assert publish_version(spark.range(9).withColumn("day", F.col("id") % 2), path, ["day"], keep=1) == "000000010"
+    assert read_version(spark, path).count() == 9 and pointers(spark, path) == ["000000010"]
+    assert len(list((tmp_path / "table" / "versions").iterdir())) <= 2
+
+
 def test_publish_refuses_and_replaces(spark, tmp_path):
     path = str(tmp_path / "table")
     publish(spark.range(5), path)
