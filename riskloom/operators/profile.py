@@ -89,11 +89,12 @@ def text_style(df: DataFrame, text: str, id_col: str = "id") -> DataFrame:
 
     The examples are the rows with the least id digests, so they are the same in every run.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1))
+    # a word is a run of a-z and apostrophes; no list of a text's words is made
+    lowered, common = F.lower(text), "|".join(C.STOPWORDS)
     marks = df.select(
         F.col(text).rlike("[.!?]").cast("int").alias("sentence"),
-        F.arrays_overlap(words, F.array(*[F.lit(w) for w in C.STOPWORDS])).cast("int").alias("stopword"),
-        F.size(words).alias("words"),
+        lowered.rlike(f"(?<![a-z'])(?:{common})(?![a-z'])").cast("int").alias("stopword"),
+        F.regexp_count(lowered, F.lit("[a-z']++")).alias("words"),
     )
     few = df.select(F.md5(F.col(id_col).cast("string")).alias("_digest"), id_col,
                     F.substring(text, 1, C.SNIPPET_CHARS).alias("snippet")).orderBy("_digest", id_col).limit(C.SNIPPETS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from riskloom import constants as C
+from riskloom.session import materialize
 from riskloom.sources.paths import exists, first_existing
 
 QUOTED_CSV = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
@@ -84,8 +85,10 @@ def read_split_log(
     is read as plain lines, which does split. What a line does to the quotes is worked
     out for both states it may begin in, so a split knows its own effect without its
     neighbours; a table of one row per split then tells each the state it begins in.
-    The text is shuffled once, by split, where the lines of a record are joined. Only
-    the lines in front of a split's first record move again, to the record they end.
+    The text is scanned twice, for the effects and for the records, and both results are written; if the
+    scans should differ in their splits or lines, that is an error. The text is shuffled once, by
+    split, where the lines of a record are joined. Only the lines in front of a split's first record
+    move again, to the record they end.
 
     A quote inside an unquoted field is plain text. Empty lines are skipped. With
     ``strict`` a header that differs is an error, in any file. A file that ends inside
@@ -111,10 +114,10 @@ def read_split_log(
     turned = lines.withColumn("turned", F.sum("turns").over(until)).withColumn(
         "base", (F.col("sets") + F.col("turned")) % 2  # the first state that would end here as it was set
     )
-    effect = turned.groupBy(*split).agg(
+    effect = materialize(turned.groupBy(*split).agg(
         F.max_by("base", F.when(F.col("base").isNotNull(), F.col("at"))).alias("base"),
-        F.sum("turns").alias("turned"), F.max("at").alias("last"),
-    )
+        F.sum("turns").alias("turned"), F.count(F.lit(1)).alias("n"),
+    ), "split-effects")
     # The same rule once more, with a split in the place of a line: one row per split, so
     # that a file of a petabyte in 128 MB splits has eight million.
     in_file = Window.partitionBy("file").orderBy("block")
@@ -139,8 +142,14 @@ def read_split_log(
         .withColumn("record", F.sum("starts").over(until))
         .groupBy(*split, "record")
         .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
-        .select(*split, "record", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("line"))
+        .select(*split, "record", F.size("parts").alias("n"),
+                F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("line"))
     )
+    records = materialize(records, "split-records")
+    counted = records.groupBy(*split).agg(F.sum("n").alias("now")).join(effect.select(*split, "n"), split, "full_outer")
+    differs = counted.filter(~F.col("now").eqNullSafe(F.col("n"))).first()
+    if differs:
+        raise OSError(f"the two scans of {differs['file']} saw other splits or lines; read it again")
     return _parse_records(records, columns, strict)
 
 
