@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: Words in a window; an item with fewer is one window.
 WINDOW = 10
-#: Distinct benchmark windows that are broadcast; a larger set is joined by a shuffle.
+#: Distinct benchmark windows that are broadcast whole. Of a larger set the hashes of the anchors are broadcast.
 BROADCAST_WINDOWS = 50_000
+#: Anchors whose hashes are broadcast, 8 bytes each and as much again for the table. Of a still larger set none are.
+BROADCAST_ANCHORS = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digits, lower-case a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,15 +67,22 @@ def places(docs: DataFrame, id_col: str, text_col: str, window: int, anchors: li
         "doc_id", "dkey", "n_words", "p.*")
 
 
-def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, window: int, limit: int) -> DataFrame:
+def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, window: int, limit: int,
+         anchor_limit: int) -> DataFrame:
     """(doc_id, dkey, n_words, at, size, items): a row per document without ``at``, and one per hit.
 
-    The set of windows is broadcast as long as it is known to be small; then a
-    document's words never leave their task. A larger set meets the words in a shuffle.
+    The set of windows is broadcast as long as it is known to be small; then a document's words never leave their
+    task. Of a larger set the hashes of the anchors go to the tasks, and only words that may be an
+    anchor meet the windows in a shuffle. Where even the hashes are too many, all words do.
     """
     small = windows.count() <= limit
-    anchors = [r["anchor"] for r in windows.select("anchor").distinct().collect()] if small else None
+    heads = windows.select("anchor").distinct()
+    anchors = [r["anchor"] for r in heads.collect()] if small else None
     found = places(docs, id_col, text_col, window, anchors)
+    if not small and heads.count() <= anchor_limit:
+        hashes = heads.select(F.xxhash64("anchor").alias("h")).distinct()
+        found = found.join(F.broadcast(hashes), F.xxhash64("word") == F.col("h"), "left")
+        found = found.filter(F.col("at").isNull() | F.col("h").isNotNull()).drop("h")
     side = F.broadcast(windows) if small else windows
     joined = found.join(side, F.col("word") == F.col("anchor"), "left")
     first = F.col("at") - F.col("offset") + 1
@@ -84,7 +93,7 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, window
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                  limit: int = BROADCAST_WINDOWS) -> DataFrame:
+                  limit: int = BROADCAST_WINDOWS, anchor_limit: int = BROADCAST_ANCHORS) -> DataFrame:
     """(doc_id, dkey, n_words, n_hit, items, spans) for each row of ``docs``.
 
     ``spans`` lists the (at, size) of the windows found, from word 1; ``items`` the
@@ -94,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows come out as often as they went in. Other columns are ignored.
     """
     windows = item_windows(benchmark, item_col, item_text, window)
-    found = hits(docs, windows, id_col, text_col, window, limit)
+    found = hits(docs, windows, id_col, text_col, window, limit, anchor_limit)
     per_doc = found.groupBy("doc_id", "dkey").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.when(F.col("at").isNull(), 1).otherwise(0)).alias("copies"),

@@ -75,11 +75,11 @@ def test_sum_of_squares_takes_the_smallest_sum():
         gaps[b] = gaps.get(b, 10) - s
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_contamination(spark, odd_docs, odd_rows, no_docs, limit):
+@pytest.mark.parametrize("limit, anchors", [(1000, 0), (0, 1000), (0, 0)])
+def test_contamination(spark, odd_docs, odd_rows, no_docs, limit, anchors):
     items = [(1, "Alpha BETA"), (2, None), (3, ""), (10, " ".join((odd_rows[4][1] or "").split()[3:20])), (None, "x"), (11, "né x"), (12, "Alpha beta")]
     bench = spark.createDataFrame([(i, t, "s") for i, t in items], "item_id long, text string, words string")
-    got = decontaminate.contamination(odd_docs, bench, limit=limit).collect()
+    got = decontaminate.contamination(odd_docs, bench, limit=limit, anchor_limit=anchors).collect()
 
     def words(t):
         low = (t or "").translate({ord(c): c.lower() for c in decontaminate.UPPER})
