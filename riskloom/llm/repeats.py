@@ -4,21 +4,24 @@ The flow is the same for both units; only the way in which one shard is solved d
 
 1. Each document's windows are cut into segments by anchor (:mod:`windows`). Anchors are
    counted over the corpus; one that stands once holds nothing that is repeated.
-2. A bit filter of fixed size names the repeated anchors to a second scan, which lists
-   the candidate segments with a hash of their content. False hits fall out again when
-   the listed segments are counted exactly.
+2. A bit filter, sized by the number of repeated anchors, names them to a second scan,
+   which lists the candidate segments with a hash of their content. False hits fall out
+   again when the listed segments are counted exactly. Anchors too many for a filter meet
+   the segments in a join.
 3. Equal contents collapse to one representative, so a text copied a million times is
    looked at once. Representatives go, by anchor, to shards of bounded size, and the
    shard's index says which windows of each content are repeated.
 4. The answers return to all occurrences of a content, and to the documents.
 
-Anchors with more than ``HOT`` distinct contents would outgrow a task. Their windows are
-counted one by one instead, by content, with partial sums before the exchange: exact,
-and without a group that grows.
+An anchor that stands at more than ``HOT`` places of its distinct contents (in a ruled
+line it stands hundreds of times), or whose contents fill ``HOT_SHARDS`` shards, would
+outgrow a task. Its windows are counted one by one instead, by content, with partial sums
+before the exchange: exact, and without a group that grows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,15 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.windows import WordHashes, segments
+from riskloom.llm.windows import PLACE, WordHashes, gram_hashes, segments
 from riskloom.session import materialize
 
-#: Distinct contents of one anchor that a shard takes; above it windows are counted singly.
-HOT = 100_000
-#: Tokens that one shard's representatives hold, about.
+#: Places of one anchor, and shards filled by it, that a task takes; above it windows are counted singly.
+HOT, HOT_SHARDS = 100_000, 4
+#: Tokens that one shard's representatives hold, about, and places of their anchors.
 SHARD_TOKENS = {"bytes": 8_000_000, "words": 1_000_000}
-#: Bits of the filter over repeated anchors: 16 MB, whatever the corpus.
-FILTER_BITS = 27
+SHARD_PLACES = 100_000
+#: Bits of the filter per repeated anchor, and the largest filter (128 MB) as a power of two.
+ANCHOR_BITS, FILTER_BITS = 32, 30
 #: Tokens worked on at once.
 CHUNK = 500_000
 
@@ -129,10 +133,15 @@ def repeated_anchors(docs: DataFrame, rule: Rule) -> DataFrame:
     return counted.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
 
 
-def bit_filter(anchors: DataFrame) -> bytes:
-    """The anchors as a bit set of fixed size, built by partial ``or`` before it is sent."""
-    spark = anchors.sparkSession
-    place = [F.shiftrightunsigned(F.xxhash64("anchor", F.lit(i)), 64 - FILTER_BITS) for i in range(2)]
+def filter_bits(anchors: int) -> int | None:
+    """The size of the filter as a power of two; None if no filter of the largest size will do."""
+    bits = max(18, math.ceil(math.log2(max(1, anchors) * ANCHOR_BITS)))
+    return bits if bits <= FILTER_BITS else None
+
+
+def bit_filter(anchors: DataFrame, bits: int) -> bytes:
+    """The anchors as a set of ``2 ** bits`` bits, built by partial ``or`` before it is sent."""
+    place = [F.shiftrightunsigned(F.xxhash64("anchor", F.lit(i)), 64 - bits) for i in range(2)]
     words = (
         anchors.select(F.explode(F.array(*place)).alias("p"))
         .groupBy(F.shiftright("p", 6).cast("int").alias("w"))
@@ -142,7 +151,7 @@ def bit_filter(anchors: DataFrame) -> bytes:
         .select("block", F.transform("cells", lambda c: (c["w"] % 4096).cast("short")).alias("w"),
                 F.transform("cells", lambda c: c["bits"]).alias("bits"))
     )
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     for row in words.toLocalIterator():
         table[row["block"] * 4096 + np.array(row["w"], np.int64)] = np.array(row["bits"], np.int64)
     return table.tobytes()
@@ -151,9 +160,9 @@ def bit_filter(anchors: DataFrame) -> bytes:
 def in_filter(table: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Whether each anchor may be in the bit set; agrees with :func:`bit_filter`."""
     raw = np.ascontiguousarray(anchors)
-    hit = np.ones(len(raw), bool)
+    hit, unused = np.ones(len(raw), bool), 65 - (len(table) * 64).bit_length()
     for i in range(2):
-        p = spark_hash_long(raw, i) >> np.uint64(64 - FILTER_BITS)
+        p = spark_hash_long(raw, i) >> np.uint64(unused)
         word = table[(p >> np.uint64(6)).astype(np.int64)].view(np.uint64)
         hit &= (word >> (p & np.uint64(63))) & np.uint64(1) != 0
     return hit
@@ -186,16 +195,17 @@ CANDIDATE = "anchor long, content long, doc_id long, dkey long, start long, n in
 
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     """Segments whose anchor may be repeated, with a hash of their content."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bit_filter(repeated_anchors(docs, rule)))
+    many = materialize(repeated_anchors(docs, rule), "repeated-anchors")
+    bits = filter_bits(many.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(many, bits) if bits else None)
 
     def find(batches):
-        known, table = WordHashes(), np.frombuffer(sent.value, np.int64)
+        known, table = WordHashes(), np.frombuffer(sent.value, np.int64) if sent.value else None
         for batch in batches:
             ids, keys, texts = (batch.column(i) for i in range(3))
             for held in pieces(rule, encoded(texts), known):
                 tokens, bounds, (piece, at, n, anchors, repeats) = chunk_segments(rule, held)
-                pick = np.flatnonzero(in_filter(table, anchors.view(np.int64)))
+                pick = np.arange(len(anchors)) if table is None else np.flatnonzero(in_filter(table, anchors.view(np.int64)))
                 if not len(pick):
                     continue
                 piece, at, n, anchors, repeats = piece[pick], at[pick], n[pick], anchors[pick], repeats[pick]
@@ -212,16 +222,23 @@ def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
                     keys.take(take), pa.array(at + offset), pa.array(n.astype(np.int32)), pa.array(repeats)],
                     names=["anchor", "content", "doc_id", "dkey", "start", "n", "repeats"])
 
-    return docs.select("doc_id", "dkey", "text").mapInArrow(find, CANDIDATE)
+    found = docs.select("doc_id", "dkey", "text").mapInArrow(find, CANDIDATE)
+    return found if bits else found.join(many, "anchor", "left_semi")
+
 
+SHIPPED = "anchor long, content long, times long, first long, n int, body binary, places int"
 
-SHIPPED = "anchor long, content long, times long, first long, n int, body binary"
+
+def anchor_places(rule: Rule, tokens: np.ndarray, anchor: int) -> int:
+    """At how many places of a content its anchor stands."""
+    grams = gram_hashes(units_of(rule, tokens), rule.k) & ~PLACE
+    return int((grams.view(np.int64) == anchor).sum())
 
 
 def shipped(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """The wanted contents with their tokens, cut from the representatives' documents."""
     per_doc = wanted.groupBy("doc_id", "dkey").agg(
-        F.collect_list(F.struct("anchor", "content", "times", "first", "start", "n")).alias("cuts"))
+        F.collect_list(F.struct("anchor", "content", "times", "first", "start", "n", "repeats")).alias("cuts"))
     joined = docs.withColumnsRenamed({"doc_id": "d_id", "dkey": "d_key"})
     joined = joined.join(per_doc, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("dkey")))
 
@@ -233,14 +250,18 @@ def shipped(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
             flat = cuts.flatten()
             cols = {f: flat.field(f) for f in ("anchor", "content", "times", "first", "n")}
             starts, counts = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-            edges, bodies = np.searchsorted(owner, np.arange(len(batch) + 1)), []
+            anchors, again = flat.field("anchor").to_numpy(), flat.field("repeats").to_numpy(zero_copy_only=False)
+            edges, bodies, places = np.searchsorted(owner, np.arange(len(batch) + 1)), [], []
             for row, text in encoded(batch.column(0)):
                 tokens = tokens_of(rule, text, known)
                 for i in range(edges[row], edges[row + 1]):
-                    bodies.append(tokens[starts[i]:starts[i] + counts[i] + rule.window - 1].tobytes())
+                    body = tokens[starts[i]:starts[i] + counts[i] + rule.window - 1]
+                    bodies.append(body.tobytes())
+                    places.append(anchor_places(rule, body, anchors[i]) if again[i] else 1)
             yield pa.RecordBatch.from_arrays(
-                [cols["anchor"], cols["content"], cols["times"], cols["first"], cols["n"], pa.array(bodies, pa.binary())],
-                names=["anchor", "content", "times", "first", "n", "body"])
+                [cols["anchor"], cols["content"], cols["times"], cols["first"], cols["n"], pa.array(bodies, pa.binary()),
+                 pa.array(places, pa.int32())],
+                names=["anchor", "content", "times", "first", "n", "body", "places"])
 
     return joined.select("text", "cuts").mapInArrow(cut, SHIPPED).dropDuplicates(["anchor", "content"])
 
@@ -249,31 +270,53 @@ SOLVED = "anchor long, content long, starts array<int>, ends array<int>, first a
 
 
 def hot_windows(bodies: DataFrame, rule: Rule) -> DataFrame:
-    """The exact way for crowded anchors: every window counted by its content."""
+    """The exact way for crowded anchors: every window counted by its content.
+
+    Equal windows of one content travel as one row, so a ruled line costs one row per content.
+    A window that a great many contents share is left to the skew join of adaptive execution.
+    """
 
     def spread(batches):
-        size = rule.window * rule.width
+        size, step = rule.window * rule.width, rule.width
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            bodies = batch.column("body").to_pylist()
+            n, bodies = batch.column("n").to_pylist(), batch.column("body").to_pylist()
             for at in range(0, len(n), 256):
-                part = n[at:at + 256]
-                row = pa.array(np.repeat(np.arange(at, at + len(part)), part))
-                hashes = [xxhash.xxh3_128_digest(body[i:i + size]) for body, k in zip(bodies[at:at + 256], part.tolist())
-                          for i in range(0, k * rule.width, rule.width)]
-                place = np.concatenate([np.arange(k, dtype=np.int32) for k in part])
+                row, hashes, places = [], [], []
+                for i in range(at, min(at + 256, len(n))):
+                    own: dict[bytes, list[int]] = {}
+                    for w in range(n[i]):
+                        own.setdefault(xxhash.xxh3_128_digest(bodies[i][w * step:w * step + size]), []).append(w)
+                    row += [i] * len(own)
+                    hashes += own
+                    places += own.values()
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(row) for c in ("anchor", "content", "times", "first")), pa.array(place),
-                     pa.array(hashes, pa.binary())], names=["anchor", "content", "times", "first", "i", "h"])
+                    [*(batch.column(c).take(take) for c in ("anchor", "content", "times", "first")),
+                     pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.binary())],
+                    names=["anchor", "content", "times", "first", "places", "h"])
+
+    def joined(batches):
+        for batch in batches:
+            windows = batch.column("w")
+            owner, flat = windows.value_parent_indices().to_numpy(), windows.flatten()
+            i, least = flat.field("i").to_numpy(), flat.field("least").to_numpy()
+            new = np.ones(len(i), bool)
+            new[1:] = (np.diff(owner) != 0) | (np.diff(i) != 1) | (np.diff(least) != 0)
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(i)) - 1
+            edges = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[heads], minlength=len(batch))))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("anchor"), batch.column("content"),
+                 *(pa.ListArray.from_arrays(edges, pa.array(v, t)) for v, t in (
+                     (i[heads], pa.int32()), (i[tails] + 1, pa.int32()), (least[heads], pa.int64())))],
+                names=["anchor", "content", "starts", "ends", "first"])
 
-    rows = bodies.mapInArrow(spread, "anchor long, content long, times long, first long, i int, h binary")
+    rows = bodies.mapInArrow(spread, "anchor long, content long, times long, first long, places array<int>, h binary")
     rows = materialize(rows, "hot-windows")
-    known = rows.groupBy("h").agg(F.sum("times").alias("all"), F.min("first").alias("least"))
-    back = rows.join(known, "h").filter("all > 1")
-    return back.groupBy("anchor", "content").agg(
-        F.sort_array(F.collect_list(F.struct("i", "least"))).alias("w")).select(
-        "anchor", "content", F.transform("w", lambda w: w["i"]).alias("starts"),
-        F.transform("w", lambda w: w["i"] + 1).alias("ends"), F.transform("w", lambda w: w["least"]).alias("first"))
+    known = rows.groupBy("h").agg(F.sum(F.col("times") * F.size("places")).alias("all"), F.min("first").alias("least"))
+    back = rows.join(known, "h").filter("all > 1").select("anchor", "content", "least", F.explode("places").alias("i"))
+    lists = back.groupBy("anchor", "content").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("w"))
+    return lists.mapInArrow(joined, SOLVED)
 
 
 def repeated_spans(docs: DataFrame, rule: Rule, solve: Callable, earlier: bool) -> DataFrame:
@@ -285,7 +328,6 @@ def repeated_spans(docs: DataFrame, rule: Rule, solve: Callable, earlier: bool)
     ``earlier`` keeps only windows that a smaller document id holds too; otherwise a
     window counts if it stands anywhere else. ``spans`` lists (start, end) in tokens.
     """
-    spark = docs.sparkSession
     found = materialize(candidates(docs, rule), "segments")
     contents = found.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("times"), F.max("repeats").alias("repeats"),
@@ -302,15 +344,22 @@ def repeated_spans(docs: DataFrame, rule: Rule, solve: Callable, earlier: bool)
         wanted = contents.filter("kinds > 1 or times > 1")
     else:
         wanted = contents.filter("kinds > 1 or (repeats and times = 1)")
-    cut = materialize(shipped(docs, wanted, rule).join(
-        contents.select("anchor", "content", "kinds"), ["anchor", "content"]), "bodies")
-    size = cut.agg(F.sum(F.length("body"))).first()[0] or 0
-    shards = max(1, -(-size // (SHARD_TOKENS[rule.unit] * rule.width)))
-    normal = cut.filter(F.col("kinds") <= HOT).select(
-        F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(shards)).alias("shard"), *[c.split()[0] for c in SHIPPED.split(", ")])
-    solved = solve(normal, rule)
-    if not cut.filter(F.col("kinds") > HOT).isEmpty():
-        solved = solved.unionByName(hot_windows(cut.filter(F.col("kinds") > HOT).drop("kinds"), rule))
+    cut = materialize(shipped(docs, wanted, rule), "bodies")
+    body = SHARD_TOKENS[rule.unit] * rule.width
+    heavy = (F.col("places") > HOT) | (F.col("size") > HOT_SHARDS * body)
+    loads = materialize(cut.groupBy("anchor").agg(
+        F.sum("places").alias("places"), F.sum(F.length("body")).alias("size")).withColumn("heavy", heavy), "anchor-loads")
+    size, places = loads.filter("not heavy").agg(
+        F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("places"), F.lit(0))).first()
+    shards = max(1, -(-size // body), -(-places // SHARD_PLACES))
+    hot = loads.filter("heavy").select("anchor")
+    crowded, normal = not hot.isEmpty(), cut.drop("places")
+    if crowded:
+        hot = materialize(hot, "hot-anchors")
+        normal = normal.join(hot, "anchor", "left_anti")
+    solved = solve(normal.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(shards))), rule)
+    if crowded:
+        solved = solved.unionByName(hot_windows(cut.drop("places").join(hot, "anchor", "left_semi"), rule))
     if not earlier:
         whole = contents.filter("times > 1").select("anchor", "content", F.array(F.lit(0)).alias("starts"),
                                                     F.array("n").alias("ends"), F.array("first").alias("first"))

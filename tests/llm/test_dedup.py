@@ -78,24 +78,52 @@ def brute_bytes(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [None, 0])
-def test_substring_dedup(spark, odd_docs, odd_rows, monkeypatch, hot):
-    if hot is not None:
-        monkeypatch.setattr(repeats, "HOT", hot)
+#: Usual limits; every anchor counted by windows; only ruled lines; long texts in pieces; no filter; many shards.
+LIMITS = [{}, {"HOT": 0}, {"HOT": 40}, {"CHUNK": 64}, {"FILTER_BITS": 10}, {"SHARD_PLACES": 5, "HOT_SHARDS": 0}]
+
+
+@pytest.mark.parametrize("settings", LIMITS)
+def test_substring_dedup(spark, odd_docs, odd_rows, monkeypatch, settings):
+    for limit, value in settings.items():
+        monkeypatch.setattr(repeats, limit, value)
     got = substring.substring_dedup(odd_docs, window=12, anchor=5).mapInArrow(
         substring.digest, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()
     assert sorted(map(tuple, got), key=str) == brute_words(odd_rows, 12)
 
 
-@pytest.mark.parametrize("hot", [None, 0])
-def test_suffix_dedup(spark, odd_docs, odd_rows, monkeypatch, hot):
-    if hot is not None:
-        monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("settings", LIMITS)
+def test_suffix_dedup(spark, odd_docs, odd_rows, monkeypatch, settings):
+    for limit, value in settings.items():
+        monkeypatch.setattr(repeats, limit, value)
     got = suffix_array.suffix_dedup(odd_docs, window=40, anchor=10).mapInArrow(
         suffix_array.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(odd_rows, 40)
 
 
+@pytest.mark.parametrize("settings", [{}, {"HOT": 100}, {"HOT": 100, "CHUNK": 150}])
+def test_ruled_lines(spark, monkeypatch, settings):
+    for limit, value in settings.items():
+        monkeypatch.setattr(repeats, limit, value)
+    draws = np.random.default_rng(6)
+    rows = [(i, f"head {draws.integers(10 ** 9)}\n" + "-" * (60 + 7 * (i % 9)) + f"\nrow {draws.integers(10 ** 9)} " + "=" * (i + 10)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_array.suffix_dedup(docs, window=40, anchor=10).mapInArrow(
+        suffix_array.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 40)
+    assert any(r["n_spans"] > 1 for r in got)
+    words = [(i, " ".join(c if c in "-=" else c + str(i % 3) for c in t if not c.isspace())) for i, t in rows]
+    got = substring.substring_dedup(spark.createDataFrame(words, "doc_id long, text string"), window=12, anchor=5).mapInArrow(
+        substring.digest, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()
+    assert sorted(map(tuple, got), key=str) == brute_words(words, 12)
+
+
+def test_filter_grows_with_its_anchors(spark):
+    assert repeats.filter_bits(0) == 18 and repeats.filter_bits(10 ** 6) == 25 and repeats.filter_bits(10 ** 9) is None
+    kept = np.arange(3000, dtype=np.int64) * 7919 - 5_000_000
+    table = np.frombuffer(repeats.bit_filter(spark.createDataFrame([(int(v),) for v in kept], "anchor long"), 18), np.int64)
+    assert repeats.in_filter(table, kept).all() and repeats.in_filter(table, kept + 1).mean() < 0.02
+
+
 def test_empty_tables(no_docs):
     assert substring.substring_dedup(no_docs).count() == 0
     assert suffix_array.suffix_dedup(no_docs).count() == 0
