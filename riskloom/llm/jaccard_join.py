@@ -250,7 +250,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = classes.select("class", F.posexplode("bands").alias("band", "bucket"))
     crowded = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = materialize(bands.join(crowded, ["band", "bucket"]), "buckets")
-    total = members.count()
+    # rows as they are once crowded buckets are given out in blocks
+    total = members.agg(F.sum(F.ceil(F.col("members") / BUCKET))).first()[0] or 0
     members = blocked(members.join(classes.select("class", "signature"), "class"), "members", "class", BUCKET)
     tasks = max(1, -(-total // TASK_ROWS))
     least = fewest_matches(threshold, TOLERANCE)
