@@ -136,7 +136,8 @@ def with_slots(rows: DataFrame, key: list[str]) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("shard", "__stretch").orderBy(*key)
-    return dealt.join(F.broadcast(starts), ["shard", "__stretch"]).withColumn(
+    # the number of stretches grows with the rows: Catalyst broadcasts them while they are few
+    return dealt.join(starts, ["shard", "__stretch"]).withColumn(
         "slot", F.col("__start") + F.row_number().over(inside) - 1).drop("__stretch", "__start")
 
 
