@@ -228,3 +228,30 @@ def test_embedding_links(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert any(len(n) > 2 for n in near.values())
     assert embedding_join.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+@pytest.mark.parametrize("block", [None, 5])
+def test_links_across_cells(spark, monkeypatch, block):
+    """Pairs whose two vectors have different pivots are found through the copies at the boundary."""
+    if block:
+        monkeypatch.setattr(embedding_join, "BLOCK", block)
+    angles = np.linspace(0, 2 * np.pi, 90, endpoint=False)
+    x = np.stack((np.cos(angles), np.sin(angles), np.zeros(90)), 1)
+    pivots = x[[0, 30, 60, 75]]
+    monkeypatch.setattr(embedding_join, "fit_pivots", lambda *_: pivots)
+    own, goes = embedding_join.cells_of(x, pivots, np.sqrt(0.1))
+    assert len(set(own)) == 4 and len(x) < goes.sum() < 2 * len(x)
+    rows = [(i, (v * (1 + i % 3)).tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_join.embedding_links(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.95
+    across = near & (own[:, None] != own[None])
+    assert across.any() and got == {i: int(near[i].sum()) - 1 for i in range(90)}
+
+
+def test_pivots_pay_where_vectors_lie_in_groups():
+    draws = np.random.default_rng(8)
+    x = np.repeat(np.eye(16), 40, axis=0) + 0.01 * draws.normal(size=(640, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(embedding_join.fit_pivots(x, 0.3, 10 ** 6)) >= 8
+    assert len(embedding_join.fit_pivots(x[:1], 0.3, 10 ** 6)) == 1
