@@ -53,11 +53,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Language models, tokenizers and packing are beyond SQL; the tests hold each stage against brute force.
+#: Language models, tokenizers and packing are beyond SQL; a test holds the rows of all stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``, each stage's rows written before the next reads them.
+
+    Null and empty texts go in the first stage, so an empty table, or one without letters, packs
+    nothing. Rows of one id and text count as copies. Other columns ride along until the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
