@@ -175,17 +175,19 @@ def take_in_order(
     rows_per_task: int = ROWS_PER_TASK,
     rank: str | None = None,
     largest: int | None = None,
+    narrow: bool = True,
 ) -> DataFrame:
     """The first ``quota`` rows of every group in key order.
 
     ``quotas`` has one row per group with its ``quota``; groups without a row are
-    dropped. Groups of more than ``BOUND_ROWS`` rows are narrowed first, see ``candidates``. Slots that lie wholly before the quota pass without ranking, slots
+    dropped. Groups of more than ``BOUND_ROWS`` rows are narrowed first, see ``candidates``, unless
+    the caller has done so (``narrow``). Slots that lie wholly before the quota pass without ranking, slots
     wholly behind it are dropped before any shuffle, and only the slot that holds
     the edge is sorted. ``rank`` names an output column for the exact position;
     asking for it ranks every kept slot.
     """
     wanted = rank or "_rank"
-    if largest is None or largest > BOUND_ROWS:
+    if narrow and (largest is None or largest > BOUND_ROWS):
         df, largest = candidates(df, by, keys[0], quotas)
     slotted, slots = ordered_slots(df, by, keys, rows_per_task, largest)
     window = Window.partitionBy(*by, *slots).orderBy(*[k.order(df) for k in keys])

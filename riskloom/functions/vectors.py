@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,22 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return values.astype(np.float64, copy=False).reshape(len(column), dims)
 
 
+def usable_matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """A list column as an ``n x dims`` array of doubles. A row that is null, of another length, or holds a null
+    or NaN is zero throughout."""
+    fine = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False)
+    places = np.flatnonzero(fine.to_numpy(zero_copy_only=False))
+    if len(places) < len(column):
+        column = column.filter(fine)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(places), dims)
+    known = ~np.isnan(values).any(axis=1)
+    if len(places) == len(fine) and known.all():
+        return values
+    rows = np.zeros((len(fine), dims))
+    rows[places[known]] = values[known]
+    return rows
+
+
 def lists(rows: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
     """An ``n x dims`` array as a list column; rows not ``present`` are null."""
     n, dims = rows.shape

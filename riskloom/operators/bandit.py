@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from riskloom import constants as C
 from riskloom.functions import scalars as S
-from riskloom.functions.ordering import Key, take_in_order
+from riskloom.functions.ordering import ACCURACY, Key, sort_numbers, take_in_order
 from riskloom.functions.schemas import extended
 from riskloom.functions.vectors import lists, matrix, vector_sum, with_column
 from riskloom.operators.capacity import SCORE_PLACES, add_rewards, check_budgets
@@ -31,6 +31,10 @@ from riskloom.operators.semantic import VECTOR_ROWS_PER_TASK
 from riskloom.session import fresh_path, materialize
 
 
+#: On days of more rows contexts do not travel with the scores of all rows.
+SMALL_DAY = 10_000
+
+
 # --- contexts ---------------------------------------------------------------
 @dataclass(frozen=True)
 class Scaler:
@@ -198,13 +202,15 @@ STATE_SCHEMA = "policy string, day date, a array<double>, b array<double>"
 
 # --- one day ----------------------------------------------------------------
 def bandit_scores(
-    contexts: DataFrame, policies: list[Policy], state: State, keep: list[str], with_x: bool = True
+    contexts: DataFrame, policies: list[Policy], state: State, keep: list[str], with_x: bool = True,
+    bounds: dict[str, float] | None = None,
 ) -> DataFrame:
     """One row per event and policy with its upper confidence bound ``ucb_score``.
 
     All policies share one scan; the models travel in the task closure. Without
-    ``with_x`` the contexts stay behind.
+    ``with_x`` the contexts stay behind. Of a policy in ``bounds`` only rows from its bound on come out.
     """
+    bounds = bounds or {}
     settings = [(p.name, p.alpha, *state.models[p.name].weights()) for p in policies]
     rows = contexts.select(*keep, "x")
     schema = extended(rows.schema if with_x else contexts.select(*keep).schema, "policy string, ucb_score double")
@@ -216,27 +222,61 @@ def bandit_scores(
             part = part if with_x else part.drop_columns(["x"])
             for name, alpha, theta, factor in settings:
                 score = x @ theta + alpha * np.linalg.norm(x @ factor.T, axis=1)
-                named = with_column(part, "policy", pa.array([name] * len(x), pa.string()))
+                rows = part
+                if name in bounds:
+                    above = score >= bounds[name]
+                    rows, score = part.filter(pa.array(above)), score[above]
+                named = with_column(rows, "policy", pa.array([name] * len(score), pa.string()))
                 yield with_column(named, "ucb_score", pa.array(score))
 
     return rows.mapInArrow(run, schema)
 
 
+def day_candidates(
+    contexts: DataFrame, policies: list[Policy], state: State, n_rows: int, budget: float
+) -> tuple[DataFrame, int] | None:
+    """The scored rows of a day that a policy may review, with their contexts, and the most of them that a policy has.
+
+    Two scans and no shuffle of contexts: a quantile sketch of the scores, merged in every task, bounds the score of a
+    policy's last reviewed row, and the second scan writes only rows within the bound. That is the quota, two
+    ten-thousandths of the day, and ties. None if some policy should have too few of them.
+    """
+    score = F.round("ucb_score", SCORE_PLACES)
+    scored = bandit_scores(contexts, policies, state, [], with_x=False).withColumn("_score", score)
+    number = sort_numbers(scored, Key("_score", descending=True))[0]
+    shares = [min(1.0, p.slots(n_rows, budget) / n_rows + 2 / ACCURACY) for p in policies]
+    sketch = scored.groupBy("policy").agg(F.percentile_approx(number, shares, ACCURACY).alias("edges"))
+    place = {p.name: i for i, p in enumerate(policies)}
+    edges = {r["policy"]: -r["edges"][place[r["policy"]]] for r in sketch.collect()}  # one row per policy
+    edges = {name: edge for name, edge in edges.items() if math.isfinite(edge)}
+    # a little room for what rounding moves; the rounded scores decide
+    near = bandit_scores(contexts, policies, state, QUEUE_KEEP, bounds={n: e - 1e-8 * max(1.0, abs(e)) for n, e in edges.items()})
+    edge = F.coalesce(F.lit(None).cast("double"), *[F.when(F.col("policy") == n, F.lit(e)) for n, e in edges.items()])
+    near = materialize(near.filter(edge.isNull() | (score >= edge)), "day-candidates")
+    found = {r["policy"]: r["count"] for r in near.groupBy("policy").count().collect()}  # one row per policy
+    if any(found.get(p.name, 0) < min(p.slots(n_rows, budget), n_rows) for p in policies):
+        return None
+    return near, max(found.values())
+
+
 def review_day(
     scored: DataFrame, policies: list[Policy], n_rows: int, budget: float, tie: str = "seq",
-    rows_per_task: int = VECTOR_ROWS_PER_TASK,
+    rows_per_task: int = VECTOR_ROWS_PER_TASK, narrowed: int | None = None,
 ) -> DataFrame:
     """The best rows of a day for every policy, by its own budget.
 
     A day of more than ``rows_per_task`` rows should be a written table: the selection reads it several times.
+    ``narrowed`` is the size of the largest policy's rows where ``scored`` holds candidates only.
     """
     rows = scored.withColumn("_score", F.round("ucb_score", SCORE_PLACES))
     slots = by_policy(policies, lambda p: p.slots(n_rows, budget))
-    if n_rows <= rows_per_task:
-        best = Window.partitionBy("policy").orderBy(F.col("_score").desc(), tie)
+    if (n_rows if narrowed is None else narrowed) <= rows_per_task:
+        # as in larger groups, a score that is no number comes last
+        best = Window.partitionBy("policy").orderBy(Key("_score", descending=True).order(rows), tie)
         return rows.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= slots).drop("_rank", "_score")
     quotas = rows.select("policy").distinct().withColumn("quota", slots.cast("bigint"))
-    return take_in_order(rows, ["policy"], [Key("_score", descending=True), Key(tie)], quotas, rows_per_task).drop("_score")
+    keys = [Key("_score", descending=True), Key(tie)]
+    return take_in_order(rows, ["policy"], keys, quotas, rows_per_task, largest=narrowed, narrow=narrowed is None).drop("_score")
 
 
 def feedback(queue: DataFrame, policies: list[Policy]) -> DataFrame:
@@ -355,19 +395,24 @@ def replay_day(
 ) -> DataFrame:
     """Score one day with ``state`` and write its reviewed rows.
 
-    Contexts travel with the scores on a small day only. On a large one, or where ``scores`` names a
-    folder to keep them in, the scores are written without, and the reviewed rows fetch theirs by ``tie``,
-    a row's place in the log.
+    Contexts travel with the scores on a small day, and with the candidates of a large one. Where ``scores`` names a
+    folder to keep them in, or candidates are too few, the scores are written without, and the reviewed rows
+    fetch theirs by ``tie``, a row's place in the log.
     """
     spark = contexts.sparkSession
     rows = contexts.filter(F.col("day") == F.lit(day))
-    narrow = scores is not None or n_rows > rows_per_task
-    scored = bandit_scores(rows, policies, state, QUEUE_KEEP, with_x=not narrow)
+    large = n_rows > min(rows_per_task, SMALL_DAY)
+    near = day_candidates(rows, policies, state, n_rows, budget) if large and scores is None else None
+    narrow = scores is not None or (large and near is None)
+    if near is None:
+        scored, most = bandit_scores(rows, policies, state, QUEUE_KEEP, with_x=not narrow), None
+    else:
+        scored, most = near
     if narrow:
         kept = f"{scores or fresh_path(spark, 'day-scores')}/day={day.isoformat()}"
         scored.write.mode("overwrite").parquet(kept)
         scored = spark.read.schema(scored.schema).parquet(kept)
-    chosen = feedback(review_day(scored, policies, n_rows, budget, tie, rows_per_task), policies)
+    chosen = feedback(review_day(scored, policies, n_rows, budget, tie, rows_per_task, most), policies)
     if narrow:
         chosen = chosen.join(rows.select(tie, "x"), tie).select(*QUEUE_KEEP, "x", "policy", "ucb_score", "review_reward")
     target = f"{path}/day={day.isoformat()}"

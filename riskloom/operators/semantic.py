@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import Key, ordered_slots
 from riskloom.functions.schemas import extended
-from riskloom.functions.vectors import matrix, vector_sum, with_column
+from riskloom.functions.vectors import usable_matrix, vector_sum, with_column
 
 # One window expression per dimension costs more to compile than to run: with 64 of
 # them, ten seconds before the first row. Beyond this many, a sorted pass with vector
@@ -69,21 +69,20 @@ def semantic_deviation(
     Leave the vector out of ``keep`` where it is not needed afterwards: it is by far
     the widest column, and it then makes the way to the Python workers only once.
 
-    One shuffle on the user and one sort. A user above ``rows_per_task`` is cut into
+    One shuffle on the user and one sort, in which a row carries its vector once, as it came. A user above ``rows_per_task`` is cut into
     time slots; a slot starts from the total of the earlier ones. ``prior`` holds
     ``user, _rows, _total`` of history before ``df``, as the streaming form keeps it.
     A vector that is null, of another length, or holds a null or NaN gets null and adds
     nothing to the history.
     """
     dims = dims or vector_dims(df, embedding)
-    df, embedding = df.withColumn("_usable", usable(embedding, dims)), "_usable"
     keys = [Key(c) for c in order]
     slotted, slots = ordered_slots(df, [user], keys, rows_per_task)
     starts = _slot_starts(slotted, user, slots, embedding, dims) if slots else None
     if prior is not None:
         base = prior.select(user, "_rows", "_total")
         starts = _after_prior(starts, base, user, slots) if slots else base
-    columns = list(keep or [c for c in df.columns if c != embedding])
+    columns = list(keep or df.columns)
     if starts is not None:
         slotted = slotted.join(starts, [user, *slots], "left")
     else:
@@ -126,7 +125,8 @@ def _by_window(
         Window.partitionBy(*by).orderBy(*[k.order(df) for k in keys])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    parts = {f"_e{i}": F.col(embedding)[i].cast("double") for i in range(dims)}
+    df = df.withColumn("_usable", usable(embedding, dims))
+    parts = {f"_e{i}": F.col("_usable")[i].cast("double") for i in range(dims)}
     sums = {f"_s{i}": F.sum(f"_e{i}").over(before) for i in range(dims)}
     summed = df.withColumns(parts).withColumns({**sums, "_n": F.count(F.lit(1)).over(before)})
 
@@ -163,9 +163,7 @@ def _by_sorted_pass(
     first = F.row_number().over(group) == 1
     started = "_total" in df.columns
     arranged = df.withColumn("_first", first)
-    # a row without a usable vector adds nothing, and its norm of zero gives null
-    vector = F.coalesce(F.col(embedding).cast("array<double>"), F.array_repeat(F.lit(0.0), dims))
-    inputs = [*columns, vector.alias("_vector"), "_first"]
+    inputs = [*dict.fromkeys([*columns, embedding]), "_first"]
     if started:
         # Only a first row brings its start, and an absent one is an empty list: a
         # column of null lists made the whole pass three times slower.
@@ -181,7 +179,8 @@ def _by_sorted_pass(
         for rows in batches:
             if not rows.num_rows:
                 continue
-            vectors = matrix(rows.column("_vector"), dims)
+            # a row without a usable vector adds nothing, and its norm of zero gives null
+            vectors = usable_matrix(rows.column(embedding), dims)
             starts = np.flatnonzero(rows.column("_first").to_numpy(zero_copy_only=False))
             edges = [0, *starts[starts > 0].tolist(), len(vectors)]
             opening = set(starts.tolist())

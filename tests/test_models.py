@@ -13,6 +13,7 @@ from riskloom.operators.anomaly import fit_user_stats, score_anomaly
 from riskloom.operators.bandit import (
     Policy, bandit_replay, fit_scaler, policy_grid, scale_context,
 )
+from riskloom.operators import bandit
 from riskloom.operators.reduction import causal_pca
 from riskloom.operators.semantic import semantic_deviation
 from riskloom.plans import fixtures as fx
@@ -256,6 +257,43 @@ def test_replay_against_row_updates(spark, rows_per_task):
         assert np.allclose(model.a, a, atol=1e-9) and np.allclose(model.b, b)
 
 
+@pytest.mark.parametrize("short", [False, True])
+def test_contexts_of_a_large_day_stay_behind(spark, monkeypatch, short):
+    """Only candidates carry their contexts to the selection; where they should be too few, the scores alone do."""
+    rows = contexts(days=2, n=3000)
+    policies = [Policy("p", 0.5, budget=0.02), Policy("q", 2.0, 100.0, budget=0.1)]
+    sizes, review = [], bandit.review_day
+
+    def counted(scored, *args):
+        sizes.append((scored.count(), "x" in scored.columns))
+        return review(scored, *args)
+
+    monkeypatch.setattr(bandit, "SMALL_DAY", 1000, raising=False)
+    monkeypatch.setattr(bandit, "review_day", counted)
+    if short:
+        monkeypatch.setattr(bandit, "day_candidates", lambda *args: None)
+    replay = bandit_replay(spark.createDataFrame(rows, CONTEXT_SCHEMA).repartition(4), policies)
+    assert sizes == [(6000, False), (6014, False)] if short else all(x and n < 0.13 * 3010 for n, x in sizes)
+    for policy in policies:
+        queue = brute_replay(rows, policy, policy.budget)[0]
+        same({r["id"]: r["ucb_score"] for r in replay.queue.filter(F.col("policy") == policy.name).collect()}, queue)
+
+
+@pytest.mark.parametrize("small_day", [10, 10**6])
+def test_ties_and_contexts_that_are_no_numbers(spark, monkeypatch, small_day):
+    """Equal scores go by place in the log, and a score that is no number comes last on days of any size."""
+    monkeypatch.setattr(bandit, "SMALL_DAY", small_day, raising=False)
+    day = dt.date(2024, 1, 1)
+    odd = {3, 8, 11}
+    rows = [(i, i, "u", 0, day, [1.0, float("nan") if i in odd else float(i % 2)]) for i in range(40)]
+    df = spark.createDataFrame(rows, CONTEXT_SCHEMA).repartition(3)
+    ones = [i for i in range(40) if i % 2 and i not in odd]
+    zeros = [i for i in range(40) if i % 2 == 0 and i not in odd]
+    for quota in (5, 30, 39):
+        got = bandit_replay(df, budget=quota / 40).queue.select("id").collect()
+        assert sorted(r["id"] for r in got) == sorted((ones + zeros + sorted(odd))[:quota])
+
+
 def test_replay_never_sees_unreviewed_labels(spark):
     rows = contexts()
     queue, *_ = brute_replay(rows, Policy(), 0.1)
