@@ -22,6 +22,8 @@ from riskloom.sources.sinks import publish, publish_version, read_version
 from riskloom.sources.snapshots import read_snapshots, snapshot_summary
 
 LOG = ["doc_id", "text"]
+#: Bytes of text in an archive, and the least number of archives.
+ARCHIVE_BYTES, LEAST_ARCHIVES = 64 << 20, 4
 
 
 def _log_file(spark: SparkSession, sf: str) -> str:
@@ -46,8 +48,10 @@ def scan_split_log(spark, sf):
 
 
 def scan_zip(spark, sf):
-    """The log out of several zip archives, each written by one task and read by member."""
-    log = fx.table(spark, sf, "documents").select(*LOG).repartition(4)
+    """The log out of several zip archives, each written by one task and read by member. Their number grows with the text."""
+    log = fx.table(spark, sf, "documents").select(*LOG)
+    size = log.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    log = log.repartition(max(LEAST_ARCHIVES, -(-size // ARCHIVE_BYTES)))
     written = write_zipped_csv(log, fresh_path(spark, "archives"))
     archives = [r["path"] for r in materialize(written, "archive-list").collect()]  # one per task
     return _log_digest(read_zipped_log(spark, archives, r"log\.csv", LOG))

@@ -13,6 +13,7 @@ from riskloom.sources.logs import (
 from riskloom.sources.paths import first_existing
 from riskloom.sources.paths import write_once
 from riskloom.sources.sinks import as_summary, pointers, publish, publish_summary, publish_version, read_version
+from riskloom.plans import log_queries
 from riskloom.sources.archive import write_zipped_csv
 from riskloom.sources.logs import read_zipped_log
 from riskloom.sources.snapshots import read_snapshots, read_zipped_snapshots, snapshot_summary
@@ -159,6 +160,16 @@ def test_archives_on_the_shared_store(spark, tmp_path):
         read_zipped_log(spark, f"{tmp_path}/archives", "other", ["id", "content"]).count()
 
 
+def test_archives_grow_in_number_with_the_text(spark, sf, monkeypatch):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(log_queries, "ARCHIVE_BYTES", size // 6, raising=False)
+    got = log_queries.scan_zip(spark, sf)
+    assert got.rdd.getNumPartitions() in (6, 7)
+    want = documents.select("doc_id", F.md5("text")).collect()
+    assert sorted(tuple(r) for r in got.select("doc_id", "digest").collect()) == sorted(tuple(r) for r in want)
+
+
 def test_incidents(spark, tmp_path):
     details = tmp_path / "details"
     details.mkdir()
