@@ -12,14 +12,17 @@ from riskloom.plans import policy_queries as pq
 from riskloom.plans import sql
 from riskloom.plans.log_queries import WEEKS_SQL, weekly_users
 from riskloom.session import fresh_path
+from riskloom.sources.paths import names
 from riskloom.streaming.aggregates import daily_stream, profile_stream
 from riskloom.streaming.deviation import deviation_stream
 from riskloom.streaming.logs import closed_rows, latest_table, read_log_stream
 from riskloom.streaming.replay import replay_stream
 
 
-#: Files of a stream; each holds some days, and rows that come later than their day.
+#: Periods of a stream; each holds some days, and rows that come later than their day.
 PERIODS, PERIOD_DAYS, DELAY_DAYS = 3, 10, 3
+#: Rows of a file, about. All periods come in the same number of files, so that a period is a batch.
+ROWS_PER_FILE = 500_000
 
 
 def _events(spark, sf):
@@ -29,17 +32,21 @@ def _events(spark, sf):
 
 
 def _arrivals(spark, sf):
-    """The events as a stream of files in the order of their days. One row in twenty comes a file late, another one in
-    twenty comes with the last file."""
+    """The events as a stream of periods in the order of their days, each written by many tasks. One row in twenty comes a
+    period late, another one in twenty comes with the last period."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = fx.table(spark, sf, "events")
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     period = F.least(F.floor(day / PERIOD_DAYS), F.lit(PERIODS - 1))
     arrival = F.when(fx.prop() % 20 == 7, PERIODS).when(fx.prop() % 20 == 9, period + 1).otherwise(period)
     path = fresh_path(spark, "arrivals")
+    files = max(1, -(-events.count() // (PERIODS * ROWS_PER_FILE)))
     for i in range(PERIODS + 1):
-        events.filter(arrival == i).coalesce(1).write.mode("append").parquet(path)
-    return fx.from_events(read_log_stream(spark, path, events.schema, files_per_batch=1))
+        events.filter(arrival == i).repartition(files).write.mode("append").parquet(path)
+        # a task without rows writes no file; empty ones take the places
+        while sum(n.endswith(".parquet") for n in names(spark, path)) < files * (i + 1):
+            events.limit(0).write.mode("append").parquet(path)
+    return fx.from_events(read_log_stream(spark, path, events.schema, files_per_batch=files))
 
 
 def stream_profile(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.bandit import Policy, bandit_replay
 from riskloom.operators.semantic import semantic_deviation
+from riskloom.plans import stream_queries
 from riskloom.streaming.aggregates import daily_stream
 from riskloom.streaming.deviation import deviation_stream
 from riskloom.streaming.logs import read_log_stream, run_to_end
@@ -94,3 +95,25 @@ def test_deviation_does_not_depend_on_arrival(spark, tmp_path, monkeypatch):
     same(scores(delay=2 * late), whole)
     open_rows = scores(delay=2 * late, flush=False)
     assert open_rows == {}
+
+
+def test_a_period_of_many_files_is_one_batch(spark, sf, tmp_path, monkeypatch):
+    """Many tasks write a period, and the rows are those of one file for each, also where tasks have no rows."""
+    def batches(table):
+        path, found = str(tmp_path / "arrivals"), []
+        monkeypatch.setattr(stream_queries, "fresh_path", lambda *_: path)
+        monkeypatch.setattr(stream_queries.fx, "table", lambda *_: table)
+        stream = stream_queries._arrivals(spark, sf)
+        run_to_end(stream, lambda b, i: found.append(sorted(r["id"] for r in b.select("id").collect())))
+        files = len(list((tmp_path / "arrivals").glob("*.parquet")))
+        (tmp_path / "arrivals").rename(tmp_path / f"arrivals-{files}-{len(list(tmp_path.iterdir()))}")
+        return found, files
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    few = events.filter("event_id < 12")
+    (whole, files), (sparse, single) = batches(events), batches(few)
+    assert (files, single, len(whole)) == (4, 4, 4)
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 100, raising=False)
+    assert batches(events) == (whole, 16)
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 1)
+    assert batches(few) == (sparse, 16)
