@@ -31,6 +31,21 @@ def usable_matrix(column: pa.Array, dims: int) -> np.ndarray:
     return rows
 
 
+def known_matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The first ``dims`` elements of a list column as an ``n x dims`` array of doubles. What a row lacks or is no
+    finite number is NaN."""
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if (lengths == dims).all():
+        rows = values.reshape(len(column), dims)
+    else:
+        rows = np.full((len(column), dims), np.nan)
+        place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        inside = place < dims
+        rows[np.repeat(np.arange(len(column)), lengths)[inside], place[inside]] = values[inside]
+    return np.where(np.isfinite(rows), rows, np.nan)
+
+
 def lists(rows: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
     """An ``n x dims`` array as a list column; rows not ``present`` are null."""
     n, dims = rows.shape

@@ -25,7 +25,7 @@ from riskloom import constants as C
 from riskloom.functions import scalars as S
 from riskloom.functions.ordering import ACCURACY, Key, sort_numbers, take_in_order
 from riskloom.functions.schemas import extended
-from riskloom.functions.vectors import lists, matrix, vector_sum, with_column
+from riskloom.functions.vectors import known_matrix, lists, matrix, vector_sum, with_column
 from riskloom.operators.capacity import SCORE_PLACES, add_rewards, check_budgets
 from riskloom.operators.semantic import VECTOR_ROWS_PER_TASK
 from riskloom.session import fresh_path, materialize
@@ -49,25 +49,20 @@ class Scaler:
     vector_std: tuple[float, ...] = ()
 
 
-def elements(vector: str, dims: int) -> Column:
-    """The first ``dims`` elements of a vector; what it lacks or is no finite number is null."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: S.finite(F.get(vector, i).cast("double")))
-
-
 def vector_table(train: DataFrame, vector: str, dims: int, prefix: str, floor: float = C.SCALER_FLOOR) -> DataFrame:
     """The rows of ``scaler_table`` for the elements of a vector; every task adds up its own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, square, rows = np.zeros(dims, np.int64), np.zeros(dims), np.zeros(dims), 0
         for part in batches:
-            x = matrix(part.column("x"), dims)
-            known = np.isfinite(x)
+            x = known_matrix(part.column("x"), dims)
+            known = ~np.isnan(x)
             x = np.where(known, x, 0.0)
             n, total, square, rows = n + known.sum(axis=0), total + x.sum(axis=0), square + (x * x).sum(axis=0), rows + len(x)
         yield pa.RecordBatch.from_pydict({
             "i": pa.array(np.arange(dims, dtype=np.int32)), "rows": [rows] * dims, "n": n, "total": total, "square": square})
 
-    parts = train.select(elements(vector, dims).alias("x")).mapInArrow(
+    parts = train.select(F.col(vector).alias("x")).mapInArrow(
         run, "i int, rows bigint, n bigint, total double, square double")
     sums = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "total", "square")])
     mean = S.ratio(F.col("total"), F.col("n"))
@@ -113,16 +108,27 @@ def fit_scaler(
 
 
 def scale_context(df: DataFrame, scaler: Scaler, keep: list[str]) -> DataFrame:
-    """Standardised contexts ``x`` with an intercept; a missing value sits at the mean."""
+    """Standardised contexts ``x`` with an intercept; a missing value sits at the mean.
+
+    Contexts are wider than the vectors they come from: rows that have to be arranged are better arranged before.
+    """
     values = [
         F.coalesce((S.scaled_feature(c) - F.lit(mean)) / F.lit(std), F.lit(0.0))
         for c, mean, std in zip(scaler.columns, scaler.mean, scaler.std)
     ]
-    x = F.array(F.lit(1.0), *values)
-    if scaler.vector:
-        centred = F.zip_with(elements(scaler.vector, len(scaler.vector_mean)), F.lit(list(scaler.vector_mean)), lambda v, m: v - m)
-        x = F.concat(x, F.zip_with(centred, F.lit(list(scaler.vector_std)), lambda v, s: F.coalesce(v / s, F.lit(0.0))))
-    return df.select(*keep, x.alias("x"))
+    rows = df.select(*keep, F.array(F.lit(1.0), *values).alias("x"), *([F.col(scaler.vector).alias("_vector")] if scaler.vector else []))
+    if not scaler.vector:
+        return rows
+    mean, std = np.array(scaler.vector_mean), np.array(scaler.vector_std)
+    width = 1 + len(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            v = known_matrix(part.column("_vector"), len(mean))
+            x = np.hstack([matrix(part.column("x"), width), np.where(np.isnan(v), 0.0, (v - mean) / std)])
+            yield with_column(part.select(keep), "x", lists(x))
+
+    return rows.mapInArrow(run, extended(df.select(*keep).schema, "x array<double>"))
 
 
 # --- policies and model state -----------------------------------------------

@@ -10,7 +10,7 @@ from riskloom.operators.anomaly import fit_user_stats, score_anomaly
 from riskloom.operators.bandit import fit_scaler, scale_context
 from riskloom.operators.features import activity_features, split_by_time
 from riskloom.operators.semantic import semantic_deviation
-from riskloom.session import materialize
+from riskloom.session import clustered, materialize
 
 DOMAIN = "corp.example"
 TRAIN_END = "2024-01-15"
@@ -107,12 +107,16 @@ def written_scores(spark: SparkSession, sf: str, feats: DataFrame | None = None)
     return materialize(scores(spark, sf, feats), "scores")
 
 
-def contexts(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> DataFrame:
-    """Bandit contexts of the test rows."""
+def contexts(spark: SparkSession, sf: str, feats: DataFrame | None = None, by_day: bool = False) -> DataFrame:
+    """Bandit contexts of the test rows. For a write ``by_day`` the rows are arranged before they are scaled, with
+    their vectors as they came."""
     feats = feats if feats is not None else features(spark, sf, vector=True)
     train, test = split_by_time(feats, TRAIN_END)
     scaler = fit_scaler(train, C.BASE_CONTEXT, vector="embedding", dims=DIMS)
-    return scale_context(test, scaler, ["id", "seq", "user", "day", "is_malicious", "scenario"])
+    keep = ["id", "seq", "user", "day", "is_malicious", "scenario"]
+    if by_day:
+        test = clustered(test.select(*keep, *C.BASE_CONTEXT, "embedding"), ["day"])
+    return scale_context(test, scaler, keep)
 
 
 def day_text(df: DataFrame) -> DataFrame:

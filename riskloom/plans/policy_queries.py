@@ -14,6 +14,8 @@ from riskloom.plans import sql
 from riskloom.session import materialize
 
 REPLAY_BUDGET = 0.05
+#: The replay reads one day at a time, so a day has to be several tasks' work.
+CONTEXT_ROW_GROUP = 8 << 20
 N = sql.N_CONTEXT
 
 
@@ -30,7 +32,8 @@ def scaled_context(spark, sf):
 
 
 def _written_contexts(spark, sf, feats=None):
-    return materialize(fx.contexts(spark, sf, feats), "contexts", ["day"])
+    rows = fx.contexts(spark, sf, feats, by_day=True)
+    return materialize(rows, "contexts", ["day"], arranged=True, row_group=CONTEXT_ROW_GROUP)
 
 
 # --- the learning replay ----------------------------------------------------

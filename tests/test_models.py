@@ -3,8 +3,10 @@
 import datetime as dt
 import itertools
 import math
+import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +341,26 @@ def test_scaler_of_a_vector(spark):
         fit_scaler(df, ["hour_of_day"], vector="v", dims=5)
 
 
+def test_contexts_are_arranged_before_they_are_scaled(spark, monkeypatch, sf="/root/testdata/sf0.01"):
+    """The shuffle by day carries vectors as they came, and a day's file is several tasks' work."""
+    plans, write = [], policy_queries.materialize
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *args, **options)
+
+    monkeypatch.setattr(policy_queries, "materialize", seen)
+    monkeypatch.setattr(policy_queries, "CONTEXT_ROW_GROUP", 1 << 14, raising=False)
+    written = policy_queries._written_contexts(spark, sf)
+    assert 0 <= plans[0].find("MapInArrow") < plans[0].find("RebalancePartitions")
+    files = written.inputFiles()
+    days = {re.search("day=([0-9-]+)", f)[1] for f in files}
+    assert len(files) == len(days) > 2
+    assert min(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in files) > 1
+    plain = {r["id"]: r["x"] for r in fx.contexts(spark, sf).collect()}
+    same({r["id"]: r["x"] for r in written.collect()}, plain)
+
+
 def test_policy_grid_is_the_published_one():
     assert [(p.name, p.alpha, p.reward) for p in policy_grid()] == C.POLICY_GRID
 
