@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import Key, ordered_slots
 from riskloom.functions.schemas import extended
-from riskloom.functions.vectors import usable_matrix, vector_sum, with_column
+from riskloom.functions.vectors import is_packed, unpacked, usable_matrix, vector_sum, with_column
 
 # One window expression per dimension costs more to compile than to run: with 64 of
 # them, ten seconds before the first row. Beyond this many, a sorted pass with vector
@@ -28,7 +28,8 @@ VECTOR_ROWS_PER_TASK = 250_000
 
 
 def vector_dims(df: DataFrame, embedding: str) -> int:
-    row = df.filter(F.col(embedding).isNotNull()).select(F.size(embedding)).first()
+    length = (F.octet_length(embedding) / 4).cast("int") if is_packed(df, embedding) else F.size(embedding)
+    row = df.filter(F.col(embedding).isNotNull()).select(length).first()
     if row is None:
         raise ValueError(f"no vector in column {embedding}")
     return row[0]
@@ -42,7 +43,8 @@ def usable(embedding: str, dims: int):
 
 def vector_totals(df: DataFrame, by: list[str], embedding: str, dims: int) -> DataFrame:
     """Sum of usable vectors and row count per key, combined before the shuffle."""
-    totals = df.withColumn(embedding, usable(embedding, dims)).groupBy(*by).agg(
+    rows = unpacked(df.select(*by, embedding), embedding)
+    totals = rows.withColumn(embedding, usable(embedding, dims)).groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"), vector_sum(embedding, dims, "_total")
     )
     return totals.withColumn("_total", F.transform("_total", lambda v: F.coalesce(v, F.lit(0.0))))
@@ -63,6 +65,7 @@ def semantic_deviation(
     rows_per_task: int = VECTOR_ROWS_PER_TASK,
     max_window_dims: int = MAX_WINDOW_DIMS,
     keep: tuple[str, ...] | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``semantic_deviation`` to the columns of ``keep``, by default to all.
 
@@ -70,14 +73,15 @@ def semantic_deviation(
     the widest column, and it then makes the way to the Python workers only once.
 
     One shuffle on the user and one sort, in which a row carries its vector once, as it came. A user above ``rows_per_task`` is cut into
-    time slots; a slot starts from the total of the earlier ones. ``prior`` holds
+    time slots; a slot starts from the total of the earlier ones. Users are counted on ``df``, unless the caller knows that
+    none has more than ``largest`` rows, which saves making ``df`` twice. ``prior`` holds
     ``user, _rows, _total`` of history before ``df``, as the streaming form keeps it.
     A vector that is null, of another length, or holds a null or NaN gets null and adds
-    nothing to the history.
+    nothing to the history. Packed vectors (``functions.vectors``) stay packed.
     """
     dims = dims or vector_dims(df, embedding)
     keys = [Key(c) for c in order]
-    slotted, slots = ordered_slots(df, [user], keys, rows_per_task)
+    slotted, slots = ordered_slots(df, [user], keys, rows_per_task, largest)
     starts = _slot_starts(slotted, user, slots, embedding, dims) if slots else None
     if prior is not None:
         base = prior.select(user, "_rows", "_total")
@@ -89,7 +93,7 @@ def semantic_deviation(
         slotted = slotted.withColumns({
             "_rows": F.lit(None).cast("bigint"), "_total": F.lit(None).cast("array<double>"),
         })
-    method = _by_window if dims <= max_window_dims else _by_sorted_pass
+    method = _by_window if dims <= max_window_dims and not is_packed(df, embedding) else _by_sorted_pass
     needed = dict.fromkeys([*columns, user, *order, *slots, embedding, "_rows", "_total"])
     scored = method(slotted.select(*needed), [user, *slots], keys, embedding, dims, columns)
     return scored.select(*columns, "semantic_deviation")

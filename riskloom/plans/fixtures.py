@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import constants as C
+from riskloom.functions.vectors import packed
 from riskloom.operators.anomaly import fit_user_stats, score_anomaly
 from riskloom.operators.bandit import fit_scaler, scale_context
 from riskloom.operators.features import activity_features, split_by_time
@@ -30,11 +31,11 @@ def prop():
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def activity(spark: SparkSession, sf: str, embedding: bool = False) -> DataFrame:
-    """The log. Vectors are joined only where a query reads them."""
+def activity(spark: SparkSession, sf: str, embedding: bool = False, pack: bool = False) -> DataFrame:
+    """The log. Vectors are joined only where a query reads them, with ``pack`` as bytes."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     log = from_events(table(spark, sf, "events"))
-    return with_vectors(log, table(spark, sf, "embeddings")) if embedding else log
+    return with_vectors(log, table(spark, sf, "embeddings"), pack) if embedding else log
 
 
 def with_content(log: DataFrame, documents: DataFrame) -> DataFrame:
@@ -43,9 +44,15 @@ def with_content(log: DataFrame, documents: DataFrame) -> DataFrame:
     return log.join(texts, wanted == F.col("_doc")).drop("_doc")
 
 
-def with_vectors(log: DataFrame, vectors: DataFrame) -> DataFrame:
+def with_vectors(log: DataFrame, vectors: DataFrame, pack: bool = False) -> DataFrame:
     wanted = F.col("id") % F.lit(vectors.count())
-    return log.join(vectors.select(F.col("vec_id").alias("_vec"), "embedding"), wanted == F.col("_vec")).drop("_vec")
+    vectors = vectors.select(F.col("vec_id").alias("_vec"), "embedding")
+    return log.join(packed(vectors, "embedding") if pack else vectors, wanted == F.col("_vec")).drop("_vec")
+
+
+def busiest(spark: SparkSession, sf: str) -> int | None:
+    """The most events of a user, from one column of the table: each has one vector at most."""
+    return activity(spark, sf).groupBy("user").count().agg(F.max("count")).first()[0]
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -88,11 +95,11 @@ KEYS = ("id", "seq", "user", "ts", "day", "is_malicious", "scenario")
 
 def features(spark: SparkSession, sf: str, vector: bool = False) -> DataFrame:
     """The feature table, written once: its window over vectors is the costly part. With ``vector`` it
-    holds the vectors too, which only contexts read."""
-    log = activity(spark, sf, embedding=True)
+    holds the vectors too, packed, which only contexts read."""
+    log = activity(spark, sf, embedding=True, pack=True)
     meta = activity_features(log, DOMAIN, keep=(*KEYS, "embedding"))
     keep = tuple(c for c in meta.columns if vector or c != "embedding")
-    return materialize(semantic_deviation(meta, dims=DIMS, keep=keep), "features")
+    return materialize(semantic_deviation(meta, dims=DIMS, keep=keep, largest=busiest(spark, sf)), "features")
 
 
 def scores(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> DataFrame:

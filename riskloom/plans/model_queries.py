@@ -18,8 +18,9 @@ COMPONENTS = 8
 
 
 def deviation(spark, sf):
-    log = fx.activity(spark, sf, embedding=True).select("id", "seq", "user", "ts", "embedding")
-    return fx.rounded(semantic_deviation(log, dims=fx.DIMS, keep=("id",)), "semantic_deviation")
+    log = fx.activity(spark, sf, embedding=True, pack=True).select("id", "seq", "user", "ts", "embedding")
+    rows = semantic_deviation(log, dims=fx.DIMS, keep=("id",), largest=fx.busiest(spark, sf))
+    return fx.rounded(rows, "semantic_deviation")
 
 
 def _vectors(spark, sf):

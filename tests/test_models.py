@@ -15,9 +15,10 @@ from riskloom.operators.anomaly import fit_user_stats, score_anomaly
 from riskloom.operators.bandit import (
     Policy, bandit_replay, fit_scaler, policy_grid, scale_context,
 )
-from riskloom.operators import bandit
+from riskloom.operators import bandit, semantic
 from riskloom.operators.reduction import causal_pca
-from riskloom.operators.semantic import semantic_deviation
+from riskloom.functions.vectors import packed, unpacked
+from riskloom.operators.semantic import semantic_deviation, vector_dims
 from riskloom.plans import fixtures as fx
 from riskloom.plans import policy_queries
 
@@ -80,6 +81,48 @@ def test_vectors_that_cannot_be_used(spark, max_window_dims, rows_per_task):
     same({r["seq"]: r["semantic_deviation"] for r in got.collect()}, want)
 
 
+@pytest.mark.parametrize("rows_per_task", [10, 10**6])
+def test_packed_vectors_are_the_same_vectors(spark, rows_per_task):
+    """Odd ones included, for users that are cut too; what comes out is packed still."""
+    odd = [None, [1.0] * 4, [None] + [1.0] * 4, [float("nan")] * 5, [], [float("inf")] + [1.0] * 4]
+    rows = [(s, t, u, odd[s // 7 % 5] if s % 7 == 0 else v) for s, t, u, v in events()] + [(1000, 1000, "once", odd[5])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    tight = packed(df, "embedding")
+    assert dict(tight.dtypes)["embedding"] == "binary" and vector_dims(tight.filter("seq = 1"), "embedding") == 5
+
+    def known(frame):
+        return {r["seq"]: repr(r["embedding"]).replace("None, ", "nan, ") for r in frame.collect()}
+
+    assert known(unpacked(tight, "embedding")) == known(df)
+    want = semantic_deviation(df, dims=5, rows_per_task=rows_per_task)
+    for max_window_dims in (0, 16):
+        got = semantic_deviation(tight, dims=5, rows_per_task=rows_per_task, max_window_dims=max_window_dims)
+        assert got.schema["embedding"] == tight.schema["embedding"]
+        same(*({r["seq"]: r["semantic_deviation"] for r in d.filter("seq < 1000").collect()} for d in (got, want)))
+    fits = [fit_scaler(d.withColumn("hour_of_day", F.col("ts")), ["hour_of_day"], vector="embedding", dims=5) for d in (df, tight)]
+    assert np.allclose(fits[0].vector_mean, fits[1].vector_mean) and np.allclose(fits[0].vector_std, fits[1].vector_std)
+
+
+def test_features_move_packed_vectors_and_make_the_log_once(spark, sf, monkeypatch):
+    """Bytes go through the shuffle, the sort and the file, and no count of the users joins the vectors first."""
+    plans, write = [], fx.materialize
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *args, **options)
+
+    monkeypatch.setattr(fx, "materialize", seen)
+    cut, known = semantic.ordered_slots, []
+    monkeypatch.setattr(semantic, "ordered_slots", lambda *args: known.append(args[4:]) or cut(*args))
+    feats = fx.features(spark, sf, vector=True)
+    assert known == [(fx.busiest(spark, sf),)]
+    assert dict(feats.dtypes)["embedding"] == "binary"
+    assert plans[0].count("MapInArrow") == 2 and plans[0].count("Join") == 1
+    assert fx.busiest(spark, sf) == feats.groupBy("user").count().agg(F.max("count")).first()[0]
+    log = {r["id"]: r["embedding"] for r in fx.activity(spark, sf, embedding=True).collect()}
+    assert {r["id"]: r["embedding"] for r in unpacked(feats, "embedding").collect()} == log
+
+
 def test_deviation_is_causal(spark):
     rows = events()
     changed = [(s, t, u, [9.0] * 5 if s > 60 else v) for s, t, u, v in rows]
